@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm import bpe
+from pagewright.llm import bpe, decontam, simhash
 from pagewright.llm.common import table
 
 
@@ -22,8 +23,21 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), *tokenizer(), digests=True)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of every document: doc_id, fingerprint, component_id, n_class."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in every document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.digest(F.col("items")).alias("items_sha256"), decontam.is_contaminated().alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_simhash": op4_simhash,
+    "op7_decontamination": op7_decontamination,
 }
 
 SQL: dict[str, str] = {}
