@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, decontam, simhash
+from pagewright.llm import bpe, decontam, langid, simhash, toxicity
 from pagewright.llm.common import table
 
 
@@ -34,10 +34,22 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.digest(F.col("items")).alias("items_sha256"), decontam.is_contaminated().alias("contaminated"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: doc_id, held_out, lang_pred, score."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: doc_id, held_out, score, predicted."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_simhash": op4_simhash,
     "op7_decontamination": op7_decontamination,
+    "op8_language_id": op8_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {}
