@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, decontam, langid, simhash, toxicity
+from pagewright.llm import bpe, decontam, langid, pii, secrets, simhash, toxicity
 from pagewright.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: doc_id, counts of the fixed forms, base_sha256, spans."""
+    return pii.digests(pii.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -39,6 +44,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: doc_id, counts of the fixed forms, base_sha256, spans."""
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document: doc_id, held_out, score, predicted."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -47,8 +57,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_simhash": op4_simhash,
+    "op5_pii": op5_pii,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
+    "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
 }
 
