@@ -130,11 +130,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component: the one with the smallest id; columns as ``docs`` has them.
+    """One document of each component: the one with the smallest id, null ids last; columns as ``docs`` has them.
 
-    Of rows that repeat this id, and of rows with a null id in a component without others, one stays (by text).
+    Rows that share id and text are one document, of which one row stays. Documents without an id are told apart by a
+    hash of their text.
     """
-    found = near_duplicates(docs, **options)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "doc_id_"), F.col("doc_id").eqNullSafe(F.col("doc_id_")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), **options)
+    first = found.where("doc_id = component_id").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.hash").alias("_hash")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
+    return kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
