@@ -29,18 +29,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import prepare, ship
+from pagewright.llm.common import Scratch, prepare, ship
 
 ship(__name__)
 
 #: Entries of the broadcast head, characters of a word in it.
-HEAD, HEAD_CHARS = 1 << 19, 64
+HEAD, HEAD_CHARS = 900_000, 64
 #: Bytes of a word up to which merges are folded by higher-order functions, whose cost is quadratic; longer
 #: words (runs of one kind of character without a space) take the same merges from a heap.
 FOLD_BYTES = 160
 #: Buckets of the literal rank map. Spark searches a map from its start, so it is dealt into small ones.
-BUCKETS = 1 << 13
+BUCKETS = 1 << 14
 NONE = 2147483647
+#: Bits of an id, and of a place in a word, in the numbers that the fold carries.
+ID_BITS, PLACE_BITS = 18, 8
 
 # The letters, numbers and white space below U+0250.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -103,34 +105,43 @@ def let(value: Column, body) -> Column:
 
 
 def merge_fold(word: Column, ranks: Column) -> Column:
-    """``array<bigint>``: the ids of a word given as binary.
+    """``array<bigint>``: the ids of a word given as binary, of at most ``FOLD_BYTES`` bytes.
 
-    The fold carries the ids of the pieces and the rank of each neighbouring pair; each step merges the leftmost
-    pair of the lowest rank, which is the id of the merged piece, and ranks anew the two pairs that it is in.
-    ``ranks`` should be a lambda variable (see ``let``), so that the literal stands in the plan once.
+    The fold carries one number for each piece: the rank of its pair with the next piece, its place and its id, from
+    high bits to low. The lowest number is so the leftmost pair of the lowest rank, and that rank is the id of the
+    merged piece; a step merges it and ranks anew the two pairs that the merged piece is in. ``ranks`` should be a
+    lambda variable (see ``let``), so that the literal stands in the plan once.
     """
-    none, all_ = F.array().cast("array<bigint>"), F.lit(4 * FOLD_BYTES)
-    size = F.octet_length(word)
+    size, none = F.octet_length(word), F.array().cast("array<bigint>")
+    mask = lambda bits: F.lit((1 << bits) - 1)
+    id_of = lambda v: v.bitwiseAND(mask(ID_BITS))
+    low = ID_BITS + PLACE_BITS
 
-    def merged(p: Column, r: Column, low: Column, j: Column) -> Column:
-        left = F.when(j > 1, F.array(rank_of(ranks, F.get(p, j - 2), low))).otherwise(none)
-        right = F.when(j < F.size(r), F.array(rank_of(ranks, low, F.get(p, j + 1)))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(p, F.lit(1), j - 1), F.array(low), F.slice(p, j + 2, all_)).alias("p"),
-            F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, all_)).alias("r"),
-        )
+    def packed(rank: Column, rest: Column) -> Column:
+        return F.shiftleft(rank.cast("bigint"), low).bitwiseOR(rest)
 
-    def step(acc: Column, _: Column) -> Column:
-        p, r = acc["p"], acc["r"]
-        return let(F.coalesce(F.array_min(r), F.lit(NONE)), lambda low: F.when(low == NONE, acc).otherwise(let(F.array_position(r, low).cast("int"), lambda j: merged(p, r, low, j))))
+    def merged(v: Column, least: Column, j: Column) -> Column:
+        new = F.shiftright(least, low)
+        before, after = F.get(v, j - 2), F.get(v, j + 1)
+        left = F.when(j > 1, F.array(packed(rank_of(ranks, id_of(before), new), before.bitwiseAND(mask(low))))).otherwise(none)
+        right = F.when(after.isNull(), NONE).otherwise(rank_of(ranks, new, id_of(after)))
+        own = packed(right, least.bitwiseAND(F.lit(((1 << PLACE_BITS) - 1) << ID_BITS)).bitwiseOR(new))
+        return F.concat(F.slice(v, F.lit(1), F.greatest(j - 2, F.lit(0))), left, F.array(own), F.slice(v, j + 2, F.lit(2 * FOLD_BYTES)))
 
-    def fold(p: Column) -> Column:
-        pairs = F.when(size < 2, none).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(size - 2, F.lit(0))), lambda i: rank_of(ranks, F.get(p, i), F.get(p, i + 1))))
-        return F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), F.struct(p.alias("p"), pairs.alias("r")), step, lambda acc: acc["p"])
+    def step(v: Column, _: Column) -> Column:
+        return let(F.array_min(v), lambda least: F.when(least >= (NONE << low), v).otherwise(let(F.array_position(v, least).cast("int"), lambda j: merged(v, least, j))))
+
+    def fold(ids: Column) -> Column:
+        def one(i: Column) -> Column:
+            rank = F.when(i + 1 < size, rank_of(ranks, F.get(ids, i), F.get(ids, i + 1))).otherwise(NONE)
+            return packed(rank, F.shiftleft(i.cast("bigint"), ID_BITS).bitwiseOR(F.get(ids, i)))
+
+        start = F.transform(F.sequence(F.lit(0), size - 1), one)
+        return F.aggregate(F.sequence(F.lit(1), size), start, step, lambda v: F.transform(v, id_of))
 
     code = lambda i: F.conv(F.hex(F.substring(word, i, F.lit(1))), 16, 10).cast("int")
-    single = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(F.get(F.get(ranks, F.lit(0)), F.lit(0)), code(i)))
-    return F.when(size == 0, none).otherwise(let(single, fold))
+    single = lambda: F.transform(F.sequence(F.lit(1), size), lambda i: F.get(F.get(F.get(ranks, F.lit(0)), F.lit(0)), code(i)))
+    return F.when(size == 0, none).otherwise(let(single(), fold))
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -179,18 +190,31 @@ def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
     return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, text_col: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The ``head`` most frequent words, where the ids of each begin (one place more than words), and all their ids."""
+def build_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, text_col: str = "text") -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Frequent words (at most ``head``), where the ids of each begin (one place more than words), and all their ids.
+
+    Words are in the head from a least count on. A histogram of counts, with a few hundred classes at most, gives the
+    least count for which they are no more than ``head``, so that no task orders them.
+    """
+    scratch = Scratch(docs.sparkSession, "bpe")
+    counts = scratch.keep(word_counts(docs, pattern, text_col).where(F.octet_length(F.encode("word", "utf-8")) <= FOLD_BYTES))
+    level = F.floor(F.log2("n") * 16)
+    told = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, held = None, 0
+    for at, words in told:
+        if held + words > head:
+            break
+        least, held = at, held + words
     lit = rank_literal(ranks)
-    top = word_counts(docs, pattern, text_col).orderBy(F.desc("n"), "word").limit(head)
     raw = F.encode("word", "utf-8")
-    rows = top.where(F.octet_length(raw) <= FOLD_BYTES).repartition(docs.sparkSession.sparkContext.defaultParallelism).select("word", let(lit, lambda r: merge_fold(raw, r)).alias("ids")).toArrow()
-    ids = rows["ids"].combine_chunks()
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else ids
-    if not len(ids):
-        return [], np.zeros(1, np.int64), np.zeros(0, np.int32)
+    top = counts.where(level >= least) if least is not None else counts.limit(0)
+    rows = top.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism).select("word", let(lit, lambda r: merge_fold(raw, r)).alias("ids")).toArrow()
+    scratch.drop()
+    words, ids = rows["word"].combine_chunks(), rows["ids"].combine_chunks()
+    if not len(words):
+        return pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.int32)
     flat, starts = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ids.offsets.to_numpy().astype(np.int64)
-    return rows["word"].to_pylist(), starts - starts[0], flat
+    return words, starts - starts[0], flat
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -205,17 +229,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     words, starts, flat = build_head(docs, ranks, pattern, head)
     n_head = len(words)
-    told_words = spark.sparkContext.broadcast("\x00\x00".join(words) if not any("\x00" in w for w in words) else words)
+    told_words = spark.sparkContext.broadcast(words)
     told_ids = spark.sparkContext.broadcast((starts, flat))
     told_ranks = spark.sparkContext.broadcast(ranks)
     whole = docs.schema["doc_id"].dataType
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each word's place in the head, or behind it in the row's own array of other words."""
-        split, words = splitter(pattern), told_words.value
-        words = words.split("\x00\x00") if isinstance(words, str) and words else words or []
-        known = dict(zip(words, range(len(words)), strict=True))
-        del words
+        split, known = splitter(pattern), dict(zip(told_words.value.to_pylist(), range(n_head), strict=True))
         for batch in batches:
             codes, ends, rest = [], [0], []
             for text in batch.column(1).to_pylist():
