@@ -11,7 +11,8 @@ Only the earliest line of a key matters, so keys are aggregated and no pairs are
 verified by edit distance. A line goes if it has one, whether or not that partner itself goes.
 
 A line of n characters has n variants, so they are emitted only for lines that can have a partner: two lines within one
-edit share their first or their last half, and a grouped count tells which halves more than one line has.
+edit share their first or their last half, and all but one of eight parts; grouped counts tell which halves, and then
+which such remainders, more than one line has.
 """
 
 from __future__ import annotations
@@ -48,6 +49,22 @@ def halves(line: Column) -> Column:
     return F.array(*keys)
 
 
+def all_but_a_part(line: Column, parts: int = 8) -> Column:
+    """The same by everything but one of eight parts, which far fewer lines share; for lines that share a half."""
+    n = F.length(line)
+    keys = []
+    for longer, size in enumerate((n, n - 1)):
+        for k in range(parts):
+            low, high = F.floor(size * k / parts).cast("int"), F.floor(size * (k + 1) / parts).cast("int")
+            keys.append(F.xxhash64(F.lit(k), size, F.substring(line, F.lit(1), low), F.substring(line, high + 1 + longer, size - high)))
+    return F.array(*keys)
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The keys of (h1, key) that more than one line has."""
+    return keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
+
+
 def variant_hashes(line: str) -> tuple[int, np.ndarray]:
     """The hash of a line, and those of the line without each of its characters, as signed 64-bit numbers."""
     with np.errstate(over="ignore"):
@@ -101,12 +118,14 @@ def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch, near_chars:
     ``firsts``: (h1, h2, first struct<doc_id,pos>, keys) of each distinct line that is long enough.
     """
     keyed = firsts.select("h1", "h2", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
-    active = keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct().join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
+    active = keyed.join(shared_keys(keyed), "key", "left_semi").select("h1", "h2").distinct().join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
     mine = active.select("h1", "h2", F.col("first.doc_id").alias("id"), F.col("first.pos").alias("at"))
     lines = places(docs, id_col, text_col)
     lines = lines.join(mine, (F.xxhash64("line") == mine["h1"]) & F.col("doc_id").eqNullSafe(mine["id"]) & (F.col("pos") == mine["at"]))
     active = scratch.keep(lines.select("doc_id", "pos", "line", "h1", "h2").dropDuplicates(["h1", "h2"]))
+    keyed = active.select("h1", "h2", F.explode(all_but_a_part(F.col("line"))).alias("key"))
+    close = keyed.join(shared_keys(keyed), "key", "left_semi").select("h1", "h2").distinct()
+    active = scratch.keep(active.join(close, ["h1", "h2"]))
     found = scratch.keep(variants(active))
     order = F.struct("doc_id", "pos")
     by_place, by_variant, whole = (found.where(F.col("role") == k).select("key", order.alias("at")) for k in range(3))
