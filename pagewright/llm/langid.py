@@ -56,7 +56,7 @@ def kernel(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(a), len(b)))
     for i, codes in enumerate(a):
         at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        out[i] = right[:, at[known[at] == codes]].sum(axis=1) / np.sqrt(len(codes))
+        out[i] = right[:, at[known[at] == codes]].sum(axis=1, dtype=np.float64) / np.sqrt(len(codes))
     return out
 
 

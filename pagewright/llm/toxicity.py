@@ -150,7 +150,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int], i
     """(text, toxic) of the sampled documents; an id that is labelled more than once counts as its highest label."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("k", F.row_number().over(first)).where((F.col("k") <= sample[1]) & ((F.col("toxic") == 1) | (F.col("k") <= sample[0])) if sample[1] >= sample[0] else (F.col("k") <= sample[0]) & ((F.col("toxic") == 0) | (F.col("k") <= sample[1])))
+    # The plain limit comes first: Spark then keeps no more rows of a label from any task.
+    chosen = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max(sample))
+    chosen = chosen.where(F.col("k") <= F.when(F.col("toxic") == 1, sample[1]).otherwise(sample[0]))
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").select("text", "toxic")
 
 
