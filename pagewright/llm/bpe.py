@@ -34,7 +34,7 @@ from pagewright.llm.common import Scratch, prepare, ship
 ship(__name__)
 
 #: Entries of the broadcast head, characters of a word in it.
-HEAD, HEAD_CHARS = 900_000, 64
+HEAD, HEAD_CHARS = 1 << 19, 64
 #: Bytes of a word up to which merges are folded by higher-order functions, whose cost is quadratic; longer
 #: words (runs of one kind of character without a space) take the same merges from a heap.
 FOLD_BYTES = 160
@@ -208,12 +208,13 @@ def build_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int
     lit = rank_literal(ranks)
     raw = F.encode("word", "utf-8")
     top = counts.where(level >= least) if least is not None else counts.limit(0)
-    rows = top.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism).select("word", let(lit, lambda r: merge_fold(raw, r)).alias("ids")).toArrow()
+    rows = top.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism).select("word", let(lit, lambda r: merge_fold(raw, r)).cast("array<int>").alias("ids")).toArrow()
     scratch.drop()
     words, ids = rows["word"].combine_chunks(), rows["ids"].combine_chunks()
+    del rows
     if not len(words):
         return pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.int32)
-    flat, starts = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ids.offsets.to_numpy().astype(np.int64)
+    flat, starts = ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64)
     return words, starts - starts[0], flat
 
 
