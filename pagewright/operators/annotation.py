@@ -10,8 +10,13 @@ from pagewright.operators.matching import BOX, PAGE
 
 
 def parse(answers: DataFrame, raw: str = "raw_response") -> DataFrame:
-    """Adds ``success, error`` and ``body``."""
-    return answers.withColumn("_a", parse_answer(F.col(raw))).select("*", "_a.success", "_a.error", "_a.body").drop("_a")
+    """Adds ``success, error`` and ``body``; a call that failed (columns success, error) stays failed."""
+    called = "success" in answers.columns
+    rest = [c for c in answers.columns if c not in ("success", "error", "body")]
+    parsed = answers.withColumn("_a", parse_answer(F.col(raw)))
+    good = F.coalesce(F.col("success") & F.col("_a.success"), F.lit(False)) if called else F.col("_a.success")
+    said = F.coalesce(F.col("error"), F.col("_a.error")) if "error" in answers.columns else F.col("_a.error")
+    return parsed.select(*rest, good.alias("success"), said.alias("error"), F.when(good, F.col("_a.body")).alias("body"))
 
 
 def matches(parsed: DataFrame) -> DataFrame:

@@ -46,15 +46,14 @@ def test_backends(spark):
     assert annotation.matches(annotation.parse(asked)).count() == 2
 
 
-class Broken:
-    def pages(self, name, content):
-        raise ValueError("no pages")
-
-    def ask(self, prompt, image):
-        raise TimeoutError("late")
+def test_errors_are_rows(spark):
+    class Broken:  # local, so that it is sent to the workers by value
+        def pages(self, name, content):
+            raise ValueError("no pages")
 
+        def ask(self, prompt, image):
+            raise TimeoutError("late")
 
-def test_errors_are_rows(spark):
     files = spark.createDataFrame([("a", bytearray(1))], "name string, content binary")
     assert backends.rasterise(files, Broken()).first()["status"] == "error: no pages"
     page = spark.createDataFrame([("a", 1, "p", bytearray())], "doc_id string, page_number int, prompt string, content binary")
