@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pagewright.llm import bpe, decontam, langid, lines, simhash
 from pagewright.llm.common import Scratch, table
 
+#: Edits within which line dedup takes a line for a repeat of an earlier one.
+LINE_EDITS = 2
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -30,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that repeat or are within one edit of an earlier line; every document stays, with what is left of it."""
-    return as_documents(lines.dedup_lines(docs))
+    """Remove lines that repeat or are within two edits of an earlier line; every document stays, with what is left of it."""
+    return as_documents(lines.dedup_lines(docs, edits=LINE_EDITS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Line dedup: exact repeats, and lines within one edit of an earlier line, by a deletion-neighbourhood join.
+"""Line dedup: exact repeats, and lines within ``edits`` edits of an earlier line.
+
+With a bound of one edit, partners are found by a deletion-neighbourhood join.
 
 A line that repeats is one node of the join, at its earliest place (document id, then line number). Two lines within one
 edit either lose one character at the same place and are then equal (a substitution), or one of them loses a character
@@ -13,11 +15,19 @@ verified by edit distance. A line goes if it has one, whether or not that partne
 A line of n characters has n variants, so they are emitted only for lines that can have a partner: two lines within one
 edit share their first or their last half, and all but one of eight parts; grouped counts tell which halves, and then
 which such remainders, more than one line has.
+
+With a larger bound k, variants would grow with the length to the power k. Two lines within k edits share one of k + 1
+parts, and all but k of ``parts`` parts, each moved by as many characters as the edits before it add or remove. Lines
+that share such a remainder are candidates, verified by edit distance: first each line against the earliest line of its
+remainders, then only the lines left over against all earlier ones. Nothing is capped; a group of lines that share a
+remainder but are not near its earliest line costs the square of its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +40,10 @@ ship(__name__)
 
 #: Characters from which a line is compared by edits; shorter ones only go as exact repeats.
 NEAR_CHARS = 24
+#: Edits within which a line counts as a repeat of an earlier one.
+EDITS = 1
+#: Parts of a line, of which two lines within a larger bound share all but as many as there are edits.
+PARTS = 8
 #: Multiplier of the variant hash, odd so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 
@@ -65,14 +79,64 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
 
 
-def variant_hashes(line: str) -> tuple[int, np.ndarray]:
-    """The hash of a line, and those of the line without each of its characters, as signed 64-bit numbers."""
+@cache
+def shifts(edits: int) -> list[tuple[int, ...]]:
+    """By how much what follows each of ``edits`` touched parts has moved in the longer line of two."""
+    return [s for s in product(range(-edits, edits + 1), repeat=edits) if s[-1] >= 0 and sum(abs(b - a) for a, b in zip((0, *s), s, strict=False)) <= edits]
+
+
+def a_part(line: Column, edits: int) -> Column:
+    """Keys of which two lines within ``edits`` edits share one: one of ``edits + 1`` parts, wherever it may have moved."""
+    n, keys = F.length(line), []
+    for longer in range(edits + 1):
+        size = n - longer
+        for t in range(edits + 1):
+            low, high = F.floor(size * t / (edits + 1)).cast("int"), F.floor(size * (t + 1) / (edits + 1)).cast("int")
+            moved = {0} if t == 0 else {s[t - 1] for s in shifts(edits) if s[-1] == longer}
+            keys += [F.xxhash64(F.lit(t), size, F.substring(line, low + F.lit(s + 1), high - low)) for s in sorted(moved)]
+    return F.array(*keys)
+
+
+def prefix_sums(line: str) -> np.ndarray:
+    """Polynomial hashes of every prefix of a line."""
     with np.errstate(over="ignore"):
         codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
         codes = (codes ^ (codes << np.uint64(21))) * np.uint64(0xBF58476D1CE4E5B9)
         codes ^= codes >> np.uint64(31)
         powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(codes), BASE, np.uint64))), dtype=np.uint64)
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(codes * powers[:-1], dtype=np.uint64)))
+        return np.concatenate(([np.uint64(0)], np.cumsum(codes * powers[:-1], dtype=np.uint64)))
+
+
+def all_but_parts(line: str, edits: int, parts: int) -> np.ndarray:
+    """Keys of which two lines within ``edits`` edits share one: the line without ``edits`` of its parts."""
+    sums = prefix_sums(line)
+    n, out = len(sums) - 1, []
+    touched = np.array(list(combinations(range(parts), edits)))
+    odd = np.uint64(0x9FB21C651E98DF25)
+    with np.errstate(over="ignore"):
+        names = (touched @ (parts ** np.arange(edits))).astype(np.uint64)
+        for s in shifts(edits):
+            size = n - s[-1]
+            if size < 0:
+                continue
+            edges = np.arange(parts + 1) * size // parts
+            starts = np.hstack([np.zeros((len(touched), 1), int), edges[touched + 1]])
+            ends = np.hstack([edges[touched], np.full((len(touched), 1), size)])
+            key, fits = (names * odd + np.uint64(size)) * odd, np.ones(len(touched), bool)
+            for i, by in enumerate((0, *s)):
+                low, high = starts[:, i] + by, ends[:, i] + by
+                there = (low >= 0) & (high <= n)
+                fits &= there | (low == high)
+                piece = sums[np.clip(high, 0, n)] - sums[np.clip(low, 0, n)]
+                key = key + piece * np.uint64(pow(BASE, -by, 1 << 64))
+            out.append(key[fits])
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def variant_hashes(line: str) -> tuple[int, np.ndarray]:
+    """The hash of a line, and those of the line without each of its characters, as signed 64-bit numbers."""
+    sums = prefix_sums(line)
+    with np.errstate(over="ignore"):
         inverse = np.uint64(pow(BASE, -1, 1 << 64))
         without = sums[:-1] + (sums[-1] - sums[1:]) * inverse
     return int(sums[-1:].view(np.int64)[0]), without.view(np.int64)
@@ -112,8 +176,44 @@ def variants(active: DataFrame) -> DataFrame:
     return active.select("doc_id", "pos", "line").mapInArrow(run, f"role byte, key long, doc_id {kind}, pos int")
 
 
-def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch, near_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2) of the lines that are within one edit of an earlier line.
+def remainders(active: DataFrame, edits: int, parts: int) -> DataFrame:
+    """(h1, h2, key): the keys ``all_but_parts`` of every line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys = [all_but_parts(line, edits, parts) for line in batch.column(2).to_pylist()]
+            if keys:
+                row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(h1[row]), pa.array(h2[row]), pa.array(np.concatenate(keys))], ["h1", "h2", "key"])
+
+    return active.select("h1", "h2", "line").mapInArrow(run, "h1 long, h2 int, key long")
+
+
+def near_by_parts(active: DataFrame, scratch: Scratch, edits: int, parts: int) -> DataFrame:
+    """(h1, h2) of the lines of ``active`` (doc_id, pos, line, h1, h2) that are within ``edits`` edits of an earlier one."""
+    keyed = scratch.keep(remainders(active, edits, parts))
+    keyed = keyed.join(shared_keys(keyed), "key", "left_semi")
+    place = active.select("h1", "h2", F.struct("doc_id", "pos").alias("at"))
+    keyed = scratch.keep(keyed.join(place, ["h1", "h2"]))
+    ours = active.select("h1", "h2", F.col("line").alias("mine"))
+    theirs = active.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("theirs"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        joined = pairs.distinct().join(ours, ["h1", "h2"]).join(theirs, ["g1", "g2"])
+        return joined.where(F.levenshtein("mine", "theirs", edits) >= 0).select("h1", "h2").distinct()
+
+    other = keyed.select("key", F.col("at").alias("to"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    earliest = other.groupBy("key").agg(F.min(F.struct("to", "g1", "g2")).alias("least")).select("key", "least.*")
+    pairs = keyed.join(earliest, "key").where("to < at").select("h1", "h2", "g1", "g2")
+    near = scratch.keep(verified(pairs))
+    left = keyed.join(near, ["h1", "h2"], "left_anti")
+    pairs = left.join(other, "key").where("to < at").select("h1", "h2", "g1", "g2")
+    return near.unionByName(scratch.keep(verified(pairs)))
+
+
+def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch, edits: int, id_col: str, text_col: str) -> DataFrame:
+    """(h1, h2) of the lines that are within ``edits`` edits of an earlier line.
 
     ``firsts``: (h1, h2, first struct<doc_id,pos>, keys) of each distinct line that is long enough.
     """
@@ -123,6 +223,8 @@ def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch, near_chars:
     lines = places(docs, id_col, text_col)
     lines = lines.join(mine, (F.xxhash64("line") == mine["h1"]) & F.col("doc_id").eqNullSafe(mine["id"]) & (F.col("pos") == mine["at"]))
     active = scratch.keep(lines.select("doc_id", "pos", "line", "h1", "h2").dropDuplicates(["h1", "h2"]))
+    if edits > 1:
+        return near_by_parts(active, scratch, edits, max(PARTS, edits + 1))
     keyed = active.select("h1", "h2", F.explode(all_but_a_part(F.col("line"))).alias("key"))
     close = keyed.join(shared_keys(keyed), "key", "left_semi").select("h1", "h2").distinct()
     active = scratch.keep(active.join(close, ["h1", "h2"]))
@@ -143,14 +245,16 @@ def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch, near_chars:
     return joined.where(F.levenshtein("mine", "theirs", 1) >= 0).select("h1", "h2")
 
 
-def find_repeats(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, exact, near): the line numbers of each document that go, as exact repeats and within one edit."""
+def find_repeats(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+    """(doc_id, exact, near): the line numbers of each document that go, as exact repeats and within ``edits`` edits."""
+    if edits < 1:
+        raise ValueError("edits: at least one")
     prepare(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
     line = F.col("line")
-    marks = scratch.keep(places(docs, id_col, text_col).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.when(F.length("line") >= near_chars, halves(line)).alias("keys")))
+    marks = scratch.keep(places(docs, id_col, text_col).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.when(F.length("line") >= near_chars, halves(line) if edits == 1 else a_part(line, edits)).alias("keys")))
     firsts = scratch.keep(marks.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys")))
-    near = near_lines(firsts.where("keys is not null"), docs, scratch, near_chars, id_col, text_col)
+    near = near_lines(firsts.where("keys is not null"), docs, scratch, edits, id_col, text_col)
     gone = scratch.keep(firsts.select("h1", "h2", "first", "n").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
     held = marks.select("doc_id", "pos", "h1", "h2").join(gone, ["h1", "h2"])
     again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")))
@@ -158,16 +262,16 @@ def find_repeats(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "d
     return held.groupBy("doc_id").agg(F.collect_set(F.when(F.col("again"), F.col("pos"))).alias("exact"), F.collect_set(F.when(~F.col("again"), F.col("pos"))).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """``docs`` with ``line_stats struct<n_lines,n_exact,n_near>`` added and the text without the lines that repeat.
 
     Lines are what newlines divide; blank lines stay and are not counted. Of equal lines the earliest place stays (smallest
-    document id, null first, then line number); of lines of ``near_chars`` characters or more, those within one edit of an
-    earlier line go too. Rows that share an id count as one document: a line at the same place of several of them is one
+    document id, null first, then line number); of lines of ``near_chars`` characters or more, those within ``edits`` edits
+    of an earlier one go too. Rows that share an id count as one document: a line at the same place of several of them is one
     occurrence. Null texts stay null, with no lines; a document may be left with an empty text; other columns stay as
     they are; an empty table gives an empty one.
     """
-    gone = find_repeats(docs, near_chars, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("exact").alias("_exact"), F.col("near").alias("_near"))
+    gone = find_repeats(docs, near_chars, id_col, text_col, edits).select(F.col("doc_id").alias("_id"), F.col("exact").alias("_exact"), F.col("near").alias("_near"))
     joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
     none = F.array().cast("array<int>")
     t = F.col(f"`{text_col}`")

@@ -96,6 +96,32 @@ def test_lines_brute_force(spark):
     assert {x["doc_id"]: x["text"] for x in got.collect()} == want
 
 
+@pytest.mark.parametrize("edits", [2, 3])
+def test_lines_more_edits(spark, edits):
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    r = random.Random(edits)
+    rows, base = [], ["".join(r.choice("abé ") for _ in range(n)) + "end" for n in (24, 31, 60)]
+    for k in range(120):
+        line = r.choice(base)
+        for _ in range(r.randint(0, edits + 2)):
+            at = r.randrange(len(line))
+            line = line[:at] + r.choice(("", "z", "y")) + line[at + r.randint(0, 1) :]
+        rows.append((k, line))
+    want = {}
+    for k, line in rows:
+        earlier = {x for _, x in rows[:k]}
+        want[k] = "" if line in earlier or len(line) >= 24 and any(len(x) >= 24 and apart(x, line) <= edits for x in earlier) else line
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), edits=edits)
+    assert {x["doc_id"]: x["text"] for x in got.collect()} == want and len({x for x in want.values() if x}) > 3
+
+
 def test_lines_odd(odd):
     got = lines.dedup_lines(odd)
     assert got.columns == [*odd.columns, "line_stats"] and got.count() == odd.count()

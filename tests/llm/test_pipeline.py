@@ -28,3 +28,9 @@ def test_stages(spark):
         before = now
     assert sorted(before.columns) == ["decoded_sha256", "doc_id", "ids_sha256", "n_tokens"]
     assert {tuple(r) for r in corpus_pipeline.run(spark, SMALL).collect()} == {tuple(r) for r in before.collect()}
+
+
+def test_line_dedup_takes_two_edits(spark):
+    line = "The cat sat on the mat and looked at all of the other cats there."
+    docs = spark.createDataFrame([(1, line), (2, line.replace("cat sat", "cow sat"))], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "0L n_chars")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, SMALL).collect()} == {1: line, 2: ""}
