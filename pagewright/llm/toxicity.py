@@ -34,6 +34,8 @@ ship(__name__)
 #: Training documents of each label: ordinary, toxic.
 SAMPLE = (4000, 2500)
 CONTRAST, LEVEL, BASE_BYTES, TOXIC_BYTES, CACHE = 5.0, 19, 32_768, 8_192, 400_000
+#: Bytes of ordinary text that train the ordinary dictionary, spread evenly over all of the sample, and of one piece of it.
+TEXT_BYTES, PIECE = 8_000_000, 200
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -94,6 +96,21 @@ class Model:
         return score
 
 
+class Spread:
+    """Pieces of all texts given: every one while they fit in ``limit`` bytes, else every second, every fourth and so on."""
+
+    def __init__(self, limit: int) -> None:
+        self.most, self.step, self.seen, self.pieces = max(1, limit // PIECE), 1, 0, []
+
+    def add(self, line: bytes) -> None:
+        for i in range(0, len(line), PIECE):
+            if self.seen % self.step == 0:
+                self.pieces.append(line[i : i + PIECE])
+                if len(self.pieces) > self.most:
+                    self.pieces, self.step = self.pieces[::2], self.step * 2
+            self.seen += 1
+
+
 def contrast(seen: tuple[Counter, Counter], n: tuple[int, int]) -> dict[str, int]:
     """Windows of toxic documents that stand out, with their document frequency."""
     out = {}
@@ -104,9 +121,9 @@ def contrast(seen: tuple[Counter, Counter], n: tuple[int, int]) -> dict[str, int
     return out
 
 
-def fit(rows: Iterator[tuple[str | None, int]]) -> Model:
+def fit(rows: Iterator[tuple[str | None, int]], text_bytes: int = TEXT_BYTES, toxic_bytes: int = TOXIC_BYTES) -> Model:
     """Train on (text, label 0 or 1): three of five rows make the dictionaries, the others calibrate."""
-    seen, n, samples, rest = (Counter(), Counter()), [0, 0], [], []
+    seen, n, spread, rest = (Counter(), Counter()), [0, 0], Spread(text_bytes), []
     for k, (text, label) in enumerate(rows):
         if k % 5 >= 3:
             rest.append((text, label))
@@ -114,10 +131,9 @@ def fit(rows: Iterator[tuple[str | None, int]]) -> Model:
         words = words_of(text)
         n[label] += 1
         seen[label].update(set(words))
-        if not label and len(samples) < 40_000:
-            line = f" {' '.join(words)} ".encode()
-            samples += [line[i : i + 200] for i in range(0, len(line), 200)][:200]
-    model = Model()
+        if not label:
+            spread.add(f" {' '.join(words)} ".encode())
+    model, samples = Model(), spread.pieces
     if min(n) == 0 or len(samples) < 50 or len({y for _, y in rest}) < 2:
         return model
     found = contrast(seen, (n[0], n[1]))
@@ -125,7 +141,7 @@ def fit(rows: Iterator[tuple[str | None, int]]) -> Model:
         model.base = zstandard.train_dictionary(BASE_BYTES, samples, k=32, d=6).as_bytes()[1200:]
     except zstandard.ZstdError:  # too little text to train on: the text itself
         model.base = b"".join(samples)[-BASE_BYTES:]
-    model.toxic = f" {' '.join(sorted(found, key=lambda w: (found[w], w)))} ".encode()[-TOXIC_BYTES:]
+    model.toxic = f" {' '.join(sorted(found, key=lambda w: (found[w], w)))} ".encode()[-toxic_bytes:]
     model.carrier = model.base[-40:-8]
     model.weights = {(0, 0): 0.0}
     cell = model.scorer().cell
@@ -156,16 +172,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int], i
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").select("text", "toxic")
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", text_bytes: int = TEXT_BYTES, toxic_bytes: int = TOXIC_BYTES) -> DataFrame:
     """``doc_id, held_out, score, predicted``, one row for each row of ``docs``.
 
     Null and empty texts have no windows and get the score of that. Ids with a null label, or that are null, teach
     nothing; repeated rows are scored alike; without both labels in the training rows every score is the same, below
-    0.5; other columns are ignored; an empty table gives an empty one.
+    0.5; other columns are ignored; an empty table gives an empty one. The ordinary dictionary is trained on at most
+    ``text_bytes`` of the sample's ordinary text, evenly spread over whole documents; of the toxic windows those in the
+    most documents are kept, up to ``toxic_bytes``.
     """
     prepare(docs.sparkSession)
     rows = training_rows(docs, labels, sample, id_col, text_col, label_col)
-    told = docs.sparkSession.sparkContext.broadcast(fit((r["text"], r["toxic"]) for r in rows.toLocalIterator()))
+    told = docs.sparkSession.sparkContext.broadcast(fit(((r["text"], r["toxic"]) for r in rows.toLocalIterator()), text_bytes, toxic_bytes))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

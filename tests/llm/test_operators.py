@@ -370,6 +370,17 @@ def test_language(spark, odd):
 # 10
 
 
+def test_dictionary_text_is_spread():
+    spread = toxicity.Spread(1000 * toxicity.PIECE)
+    for k in range(300):
+        spread.add(bytes([k % 256]) * (toxicity.PIECE * 250))
+    assert 500 <= len(spread.pieces) <= 1000 and spread.seen == 75_000
+    assert {p[0] for p in spread.pieces} == set(range(256))
+    whole = toxicity.Spread(10_000_000)
+    whole.add(b"a" * 300 * toxicity.PIECE + b"end")
+    assert b"".join(whole.pieces) == b"a" * 300 * toxicity.PIECE + b"end"
+
+
 def test_toxicity(spark, odd):
     docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     rows = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
