@@ -21,8 +21,8 @@ from pagewright.llm.common import held_out, prepare, ship
 
 ship(__name__)
 
-#: Training documents and landmarks of each language; languages, the most frequent ones; ridge penalty.
-SAMPLE, LANDMARKS, LANGUAGES, RIDGE = 300, 60, 200, 1e-2
+#: Training documents and landmarks of each language; ridge penalty.
+SAMPLE, LANDMARKS, RIDGE = 300, 60, 1e-2
 UND = "und"
 #: Texts in one matrix product.
 ROWS = 64
@@ -119,24 +119,23 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     return Model(langs, codes, weights.astype(np.float32), factor)
 
 
-def training_rows(docs: DataFrame, sample: int, languages: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(text, lang): the first ``sample`` documents of each language by a hash of their ids; at most ``languages`` languages."""
+def training_rows(docs: DataFrame, sample: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(text, lang): the first ``sample`` documents of every language by a hash of their ids."""
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~held_out("id"))
-    told = F.broadcast(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang"))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.select("id", "lang").join(told, "lang").distinct().withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample)
+    chosen = known.select("id", "lang").distinct().withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample)
     return known.join(F.broadcast(chosen), ["id", "lang"]).orderBy(F.xxhash64("id"), "id", "text").select("text", "lang")
 
 
-def identify(docs: DataFrame, train_on: DataFrame | None = None, sample: int = SAMPLE, landmarks: int = LANDMARKS, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, train_on: DataFrame | None = None, sample: int = SAMPLE, landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, held_out, lang_pred, score``, one row for each row of ``docs``.
 
-    Learns from ``train_on`` (``docs`` itself unless given) where lang and id are not null. Null texts and texts without a
+    Learns from ``train_on`` (``docs`` itself unless given) where lang and id are not null, every value of lang. Null texts and texts without a
     letter are ``und`` with score 0, as are all without training rows. Repeated rows are predicted alike; other columns
     are ignored; an empty table gives an empty one. ``lang``, ``doc_id`` and other columns are no inputs of a prediction.
     """
     prepare(docs.sparkSession)
-    rows = training_rows(docs if train_on is None else train_on, sample, languages, id_col, text_col, lang_col)
+    rows = training_rows(docs if train_on is None else train_on, sample, id_col, text_col, lang_col)
     told = docs.sparkSession.sparkContext.broadcast(fit([(r["text"], r["lang"]) for r in rows.toLocalIterator()], landmarks))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

@@ -367,6 +367,12 @@ def test_language(spark, odd):
     assert {r["lang_pred"] for r in langid.identify(odd, train_on=docs.limit(0)).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(10 * k + j, f"text {k}", f"l{k:03}") for k in range(230) for j in range(3)]
+    known = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 1, id_col="doc_id", text_col="text", lang_col="lang")
+    assert known.count() > 220 and known.select("lang").distinct().count() == known.count()
+
+
 # 10
 
 
