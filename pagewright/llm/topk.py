@@ -1,8 +1,8 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has a bit for the sign of each of 64 components. Codes are indexed by each of four segments of 16 bits.
-Round r probes every segment's values at distance r from the query's; a code at distance d has a segment within
-d // 4, so after round r all codes at distance 4 r + 3 or less are known. A query is done when its k-th verified distance
+A vector's code has a bit for the sign of each component, in as many words of 64 bits as the widest vector needs. Codes are
+indexed by each of s segments of 16 bits, four a word. Round r probes every segment's values at distance r from the
+query's; a code at distance d has a segment within d // s, so after round r all codes at distance s r + s - 1 or less are known. A query is done when its k-th verified distance
 is within that. A code is taken in one round and for one segment only: its nearest segment, the first of equal ones.
 
 Equal codes are one node of the index, with its k smallest ids (no query needs more of them). A query's current k-th
@@ -23,33 +23,41 @@ WIDTH = BITS // SEGMENTS
 LOW = (1 << WIDTH) - 1
 
 
-def sign_code(vector: Column) -> Column:
-    """A bit for each component that is over zero; null for a null or empty vector. Components from 64 on are left out."""
-    bit = lambda i: F.when(F.get(vector, i) > 0, F.expr("1L")).otherwise(F.expr("0L"))
-    code = bit(F.lit(0))
-    for i in range(1, BITS):
-        code = code.bitwiseOR(F.shiftleft(bit(F.lit(i)), i))
-    return F.when(F.size(vector) > 0, code)
+def sign_code(vector: Column, words: int = 1) -> Column:
+    """A bit for each component that is over zero; null for a null or empty vector. A long, or an array of ``words`` longs."""
+    bit = lambda i: F.when(F.get(vector, F.lit(i)) > 0, F.expr("1L")).otherwise(F.expr("0L"))
+    codes = []
+    for at in range(0, BITS * words, BITS):
+        code = bit(at)
+        for i in range(1, BITS):
+            code = code.bitwiseOR(F.shiftleft(bit(at + i), i))
+        codes.append(code)
+    return F.when(F.size(vector) > 0, codes[0] if words == 1 else F.array(*codes))
 
 
-def segment(code: Column, j: int) -> Column:
-    return F.shiftrightunsigned(code, WIDTH * j).bitwiseAND(F.lit(LOW)).cast("int")
+def word(code: Column, i: int, words: int) -> Column:
+    return code if words == 1 else F.get(code, F.lit(i))
+
+
+def segment(code: Column, j: int, words: int = 1) -> Column:
+    return F.shiftrightunsigned(word(code, j // SEGMENTS, words), WIDTH * (j % SEGMENTS)).bitwiseAND(F.lit(LOW)).cast("int")
 
 
 def masks(radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)]
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+def distance(a: Column, b: Column, words: int = 1) -> Column:
+    apart = [F.bit_count(word(a, i, words).bitwiseXOR(word(b, i, words))) for i in range(words)]
+    return sum(apart[1:], apart[0])
 
 
-def first_found(q: Column, code: Column, j: int, radius: int) -> Column:
+def first_found(q: Column, code: Column, j: int, radius: int, words: int = 1) -> Column:
     """True if segment ``j``, at ``radius``, is the first of the nearest segments."""
     ok = F.lit(True)
-    for i in range(SEGMENTS):
+    for i in range(SEGMENTS * words):
         if i != j:
-            apart = F.bit_count(segment(q, i).bitwiseXOR(segment(code, i)))
+            apart = F.bit_count(segment(q, i, words).bitwiseXOR(segment(code, i, words)))
             ok = ok & (apart > radius if i < j else apart >= radius)
     return ok
 
@@ -59,34 +67,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
     Ties go to smaller ids, null ids first; a row that is itself a query is its own neighbour. Null and empty vectors have no
     code: they are not found and find nothing. Repeated rows are rows of their own; repeated queries give repeated results;
-    with fewer than k rows all are returned; other columns are ignored.
+    with fewer than k rows all are returned; other columns are ignored. All components count; where widths differ, a missing
+    component is as one that is not over zero.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-    coded = scratch.keep(vectors.select(F.col(id_col).alias("vec_id"), sign_code(F.col(vector_col)).alias("code")).where("code is not null"))
-    asked = scratch.keep(queries.select(F.col(id_col).alias("query_id"), sign_code(F.col(vector_col)).alias("q")).where("q is not null"))
+    width = [df.agg(F.max(F.size(F.col(vector_col)))).first()[0] or 1 for df in (vectors, queries)]
+    words = max(1, -(-max(width) // BITS))
+    segments, kind = SEGMENTS * words, "long" if words == 1 else "array<long>"
+    coded = scratch.keep(vectors.select(F.col(id_col).alias("vec_id"), sign_code(F.col(vector_col), words).alias("code")).where("code is not null"))
+    asked = scratch.keep(queries.select(F.col(id_col).alias("query_id"), sign_code(F.col(vector_col), words).alias("q")).where("q is not null"))
     by_code = Window.partitionBy("code").orderBy("vec_id")
     members = scratch.keep(coded.withColumn("i", F.row_number().over(by_code)).where(F.col("i") <= k).drop("i"))
     nodes = members.groupBy("code").agg(F.count("*").alias("n"))
-    index = scratch.keep(nodes.select("code", "n", F.posexplode(F.array(*[segment(F.col("code"), j) for j in range(SEGMENTS)])).alias("seg", "val")))
+    index = scratch.keep(nodes.select("code", "n", F.posexplode(F.array(*[segment(F.col("code"), j, words) for j in range(segments)])).alias("seg", "val")))
     total = coded.limit(k).count()
-    active = scratch.keep(asked.select("q").distinct().withColumn("bound", F.lit(BITS)))
-    found = spark.createDataFrame([], "q long, code long, n long, d int")
+    active = scratch.keep(asked.select("q").distinct().withColumn("bound", F.lit(BITS * words)))
+    found = spark.createDataFrame([], f"q {kind}, code {kind}, n long, d int")
     for radius in range(WIDTH + 1):
         if not total or not active.head(1):
             break
         picked = F.array(*[F.lit(m) for m in masks(radius)])
-        probes = active.select("q", "bound", F.explode(picked).alias("mask")).select("q", "bound", F.posexplode(F.array(*[segment(F.col("q"), j).bitwiseXOR(F.col("mask")) for j in range(SEGMENTS)])).alias("seg", "val"))
+        probes = active.select("q", "bound", F.explode(picked).alias("mask")).select("q", "bound", F.posexplode(F.array(*[segment(F.col("q"), j, words).bitwiseXOR(F.col("mask")) for j in range(segments)])).alias("seg", "val"))
         q, code = F.col("q"), F.col("code")
         fresh = F.lit(False)
-        for j in range(SEGMENTS):
-            fresh = fresh | ((probes["seg"] == j) & first_found(q, code, j, radius))
-        met = probes.join(index, (probes["seg"] == index["seg"]) & (probes["val"] == index["val"]) & (distance(q, code) <= F.col("bound")) & fresh)
-        both = scratch.keep(found.unionByName(met.select("q", "code", "n", distance(q, code).cast("int").alias("d"))))
+        for j in range(segments):
+            fresh = fresh | ((probes["seg"] == j) & first_found(q, code, j, radius, words))
+        met = probes.join(index, (probes["seg"] == index["seg"]) & (probes["val"] == index["val"]) & (distance(q, code, words) <= F.col("bound")) & fresh)
+        both = scratch.keep(found.unionByName(met.select("q", "code", "n", distance(q, code, words).cast("int").alias("d"))))
         # A query's bound: the smallest distance within which it has k rows.
         upto = Window.partitionBy("q").orderBy("d")
         reached = both.groupBy("q", "d").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(upto)).where(F.col("all") >= total).groupBy("q").agg(F.min("d").alias("kth"))
-        left = scratch.keep(active.join(reached, "q", "left").select("q", F.least("bound", F.coalesce("kth", F.lit(BITS))).alias("bound"), (F.coalesce("kth", F.lit(BITS + 1)) <= SEGMENTS * radius + SEGMENTS - 1).alias("done")))
+        left = scratch.keep(active.join(reached, "q", "left").select("q", F.least("bound", F.coalesce("kth", F.lit(BITS * words))).alias("bound"), (F.coalesce("kth", F.lit(BITS * words + 1)) <= segments * radius + segments - 1).alias("done")))
         bounds = left.select("q", "bound")
         kept = both.join(bounds, "q", "left").where("bound is null or d <= bound").drop("bound")
         found, active = scratch.keep(kept), scratch.keep(left.where("not done").select("q", "bound"))

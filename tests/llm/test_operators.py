@@ -309,6 +309,17 @@ def test_topk_odd(spark):
     assert topk.search(vec.limit(0), vec, k=5).count() == 0
 
 
+@pytest.mark.parametrize("width", [65, 150])
+def test_topk_wide(spark, width):
+    r = random.Random(width)
+    rows = [(k, [1.0] * 64 + [r.choice([-1.0, 1.0]) for _ in range(width - 64)]) for k in range(40)]
+    vec = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for x in topk.search(vec, vec.where("vec_id % 20 = 0"), k=5).collect():
+        got.setdefault(x["query_id"], []).append((x["distance"], x["vec_id"]))
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted((sum(a != b for a, b in zip(rows[q][1], v, strict=True)), k) for k, v in rows)[:5] for q in (0, 20)}
+
+
 # 7
 
 
