@@ -28,6 +28,7 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from pagewright.llm.common import Scratch, prepare, ship
 
@@ -218,6 +219,21 @@ def build_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int
     return words, starts - starts[0], flat
 
 
+def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
+    """The piece of each rank."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pieces
+
+
+def joined(ids: list[int], pieces: list[bytes]) -> bytes:
+    """What the ids decode to, for ``decode`` and for the digests of ``encode``."""
+    if ids and min(ids) < 0:
+        raise IndexError("an id under zero")
+    return b"".join([pieces[i] for i in ids])
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Token ids of each whole text, as one row for each row of ``docs``.
 
@@ -254,9 +270,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (starts, flat), by_bytes = told_ids.value, told_ranks.value
-        pieces = [b""] * (max(by_bytes.values(), default=-1) + 1)
-        for piece, rank in by_bytes.items():
-            pieces[rank] = piece
+        pieces = pieces_of(by_bytes)
         names = [str(i) for i in range(len(pieces))]
         first, many = starts[:-1], np.diff(starts)
         for batch in batches:
@@ -281,7 +295,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
                 if digests:
                     listed = ids.tolist()
                     sha.append(hashlib.sha256(" ".join([names[i] for i in listed]).encode()).hexdigest())
-                    back.append(hashlib.sha256(b"".join([pieces[i] for i in listed])).hexdigest())
+                    back.append(hashlib.sha256(joined(listed, pieces)).hexdigest())
                 else:
                     got.append(ids)
                 ends.append(ends[-1] + len(ids))
@@ -299,8 +313,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
     """Adds ``decoded binary``: the pieces of the ids, concatenated; null ids give null, unknown ids an error."""
-    hexes: list[str] = [""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        hexes[rank] = piece.hex()
-    pieces = F.split(F.lit(",".join(hexes)), ",")
-    return df.withColumn("decoded", F.unhex(F.array_join(F.transform(F.col(ids_col), lambda i: F.element_at(pieces, i + 1)), "")))
+    prepare(df.sparkSession)
+    told = df.sparkSession.sparkContext.broadcast(ranks)
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "decoded"])
+    at = df.columns.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_of(told.value)
+        for batch in batches:
+            back = [None if ids is None else joined(ids, pieces) for ids in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], [*batch.schema.names, "decoded"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", BinaryType())]))

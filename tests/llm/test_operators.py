@@ -154,6 +154,15 @@ def test_bpe(docs, odd, tok, head):
         assert bpe.encode(both.limit(0), ranks, pattern).count() == 0
 
 
+def test_decode_shares_its_routine(spark):
+    ranks = {bytes([c]): c for c in range(256)}
+    assert bpe.joined([104, 105], bpe.pieces_of(ranks)) == b"hi"
+    df = spark.createDataFrame([(1, [104, 105]), (2, []), (3, None)], "k long, ids array<int>")
+    assert {r["k"]: r["decoded"] and bytes(r["decoded"]) for r in bpe.decode(df, ranks).collect()} == {1: b"hi", 2: b"", 3: None}
+    with pytest.raises(Exception, match="IndexError"):
+        bpe.decode(spark.createDataFrame([(1, [-1])], "k long, ids array<int>"), ranks).collect()
+
+
 # 3
 
 
