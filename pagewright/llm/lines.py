@@ -212,13 +212,19 @@ def near_by_parts(active: DataFrame, scratch: Scratch, edits: int, parts: int) -
     return near.unionByName(scratch.keep(verified(pairs)))
 
 
-def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch, edits: int, id_col: str, text_col: str) -> DataFrame:
+def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch, near_chars: int, edits: int, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2) of the lines that are within ``edits`` edits of an earlier line.
 
-    ``firsts``: (h1, h2, first struct<doc_id,pos>, keys) of each distinct line that is long enough.
+    ``firsts``: (h1, h2, first struct<doc_id,pos>, keys) of each distinct line that is long enough; keys for a bound of one edit only.
     """
-    keyed = firsts.select("h1", "h2", F.explode("keys").alias("key"))
-    active = keyed.join(shared_keys(keyed), "key", "left_semi").select("h1", "h2").distinct().join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
+    if edits == 1:
+        keyed = firsts.select("h1", "h2", F.explode("keys").alias("key"))
+        active = keyed.join(shared_keys(keyed), "key", "left_semi").select("h1", "h2").distinct().join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
+    else:  # many keys a line: they are made anew from the texts and shuffled once, never written
+        long = places(docs, id_col, text_col).where(F.length("line") >= near_chars)
+        keyed = long.select(F.xxhash64("line").alias("h1"), F.explode(a_part(F.col("line"), edits)).alias("key"))
+        shared = keyed.groupBy("key").agg(F.collect_set("h1").alias("of")).where(F.size("of") > 1)
+        active = shared.select(F.explode("of").alias("h1")).distinct().join(firsts.select("h1", "h2", "first"), "h1")
     mine = active.select("h1", "h2", F.col("first.doc_id").alias("id"), F.col("first.pos").alias("at"))
     lines = places(docs, id_col, text_col)
     lines = lines.join(mine, (F.xxhash64("line") == mine["h1"]) & F.col("doc_id").eqNullSafe(mine["id"]) & (F.col("pos") == mine["at"]))
@@ -252,9 +258,9 @@ def find_repeats(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "d
     prepare(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
     line = F.col("line")
-    marks = scratch.keep(places(docs, id_col, text_col).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.when(F.length("line") >= near_chars, halves(line) if edits == 1 else a_part(line, edits)).alias("keys")))
+    marks = scratch.keep(places(docs, id_col, text_col).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.when(F.length("line") >= near_chars, halves(line) if edits == 1 else F.array().cast("array<bigint>")).alias("keys")))
     firsts = scratch.keep(marks.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys")))
-    near = near_lines(firsts.where("keys is not null"), docs, scratch, edits, id_col, text_col)
+    near = near_lines(firsts.where("keys is not null"), docs, scratch, near_chars, edits, id_col, text_col)
     gone = scratch.keep(firsts.select("h1", "h2", "first", "n").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
     held = marks.select("doc_id", "pos", "h1", "h2").join(gone, ["h1", "h2"])
     again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")))
