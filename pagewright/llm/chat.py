@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.spans import running
+
 HEAD, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 
 
@@ -20,15 +22,14 @@ def render(turns: Column) -> Column:
 
 def trained(turns: Column) -> Column:
     """``array<struct<s,e>>``: the assistant's texts with their end marks, in the rendered turns."""
-    kind = "struct<at:int,out:array<struct<s:int,e:int>>>"
+    size = lambda t: len(HEAD + MIDDLE) + F.length(t["role"]) + F.length(t["text"]) + len(END)
 
-    def step(acc: Column, t: Column) -> Column:
-        s = acc["at"] + len(HEAD + MIDDLE) + F.length(t["role"])
-        e = s + F.length(t["text"]) + len(END)
-        return F.struct(e.alias("at"), F.when(t["role"] == "assistant", F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"))))).otherwise(acc["out"]).alias("out"))
+    def place(t: Column, at: Column) -> Column:
+        s = at + len(HEAD + MIDDLE) + F.length(t["role"])
+        return F.struct(s.alias("s"), (s + F.length(t["text"]) + len(END)).alias("e"), (t["role"] == "assistant").alias("ours"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out")).cast(kind)
-    return F.aggregate(turns, start, lambda acc, t: step(acc, t).cast(kind), lambda acc: acc["out"])
+    every = running(turns, "array<struct<s:int,e:int,ours:boolean>>", size, place)
+    return F.transform(F.filter(every, lambda x: x["ours"]), lambda x: F.struct(x["s"], x["e"]))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

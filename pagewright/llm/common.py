@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
+import weakref
 
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python. Texts differ in length by four orders of magnitude and
 #: Spark bounds a batch by rows alone, so the count is kept low.
 BATCH_ROWS = 400
+#: Characters of a plan's description that Spark keeps of each query; plans with tables as literals have megabytes.
+PLAN_CHARS = 50_000
 
 
 def ship(name: str) -> None:
@@ -24,45 +28,80 @@ ship(__name__)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session (``BATCH_ROWS``), unless they are smaller already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the Arrow batches (``BATCH_ROWS``) and plan descriptions of this session, unless they are smaller already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.maxPlanStringLength", PLAN_CHARS)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
+#: Broadcasts made here that may still be held.
+_shared: weakref.WeakSet[Broadcast] = weakref.WeakSet()
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcast a value of bounded size, to be let go by ``release``."""
+    told = spark.sparkContext.broadcast(value)
+    _shared.add(told)
+    return told
+
+
+def release() -> None:
+    """Drop the executors' copies of all broadcasts made here. One that is used again is sent again."""
+    for told in list(_shared):
+        told.unpersist()
+        _shared.discard(told)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none, as in tests on one machine, a temporary folder is set.
+    Where the session names none, one is set on a master that is this machine alone, as in tests; a cluster gets an error.
     """
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if told:
         return told
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 class Scratch:
-    """Tables written to the shared folder, to cut lineage; they outlive lost executors."""
+    """Tables written to the shared folder, to cut lineage; they outlive lost executors.
+
+    An operator drops those that its result doesn't read; ``sweep`` drops the others once the result is written.
+    """
+
+    left: dict[str, Scratch] = {}
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: list[str] = []
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+        self.n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back."""
         self.n += 1
         self.paths.append(path := f"{self.root}/{self.n}")
+        Scratch.left[self.root] = self
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, last: int = 0) -> None:
         """Delete all tables but the ``last`` ones."""
         gone, self.paths = (self.paths[:-last], self.paths[-last:]) if last else (self.paths, [])
-        for path in gone:
+        for path in gone if last else [self.root]:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        if not last:
+            Scratch.left.pop(self.root, None)
+
+
+def sweep(but: Scratch | None = None) -> None:
+    """Drop every scratch table of this process but those of ``but``; no result that still reads one may be in use."""
+    for scratch in list(Scratch.left.values()):
+        if scratch is not but:
+            scratch.drop()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +113,13 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def sampled(id_col: Column | str, most: int, of: int) -> Column:
+    """True for about ``most`` of ``of`` ids, by a threshold on their hash, so that no task orders them; for all if they are no more."""
+    if of <= most:
+        return F.lit(True)
+    return F.xxhash64(id_col) < F.lit(int((most / of) * (1 << 64)) - (1 << 63))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,10 +1,10 @@
 """Secret scan: fixed forms, and sliding-window Shannon entropy over candidate strings. DataFrame functions only.
 
 A candidate is a run of ``[A-Za-z0-9+/_=-]``. Its class is the narrowest of hex, letters and digits, base64 that holds all
-its characters. A window of ``WINDOW`` characters slides over it; the counts of the characters in the window are
-kept in an array and changed at the two ends, and with them the sum of ``c log2 c``, so the entropy of each window
-follows from that of the one before. The highest is compared with the class's threshold. An allow-list drops what is
-no secret though it looks random.
+its characters. A window of ``WINDOW`` characters slides over it. One character comes and one goes at each step; only
+their counts in the window change, and with them the sum of ``c log2 c``, so the entropy of each window follows from that
+of the one before. The highest is compared with the class's threshold. An allow-list drops what is no secret though it
+looks random; its patterns are possessive, so that long runs take time in proportion and no stack.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ ALLOWED = [
     r"^[A-Za-z]+$",
     r"^[0-9_=/+-]+$",
     r"^[A-Za-z]+[0-9]{0,4}$",
-    r"^(?:/?[A-Za-z]{2,}[0-9]{0,4}[/_=+-]+)+[A-Za-z]*[0-9]{0,4}$",
-    r"^(.)\1+$",
+    r"^(?:/?+[A-Za-z]{2,}+[0-9]{0,4}+[/_=+-]++)++[A-Za-z]*+[0-9]{0,4}+$",
+    r"^(.)\1++$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|xxxx|abcdefgh|12345678",
 ]
@@ -44,21 +44,23 @@ def clog(c: Column) -> Column:
 def top_entropy(text: Column, window: int = WINDOW) -> Column:
     """The highest entropy of a window of an ASCII string, in bits; of the whole string if it is shorter."""
     n, wide = F.length(text), F.lit(float(window))
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("c"), F.lit(0.0).alias("s"), F.lit(0.0).alias("h"))
 
     def walk(codes: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
-            comes, goes = F.get(codes, i), F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
-            counts = F.transform(acc["c"], lambda c, k: c + F.when(k == comes, 1).otherwise(0) - F.when(k == goes, 1).otherwise(0))
-            was_in, was_out = F.get(acc["c"], comes), F.coalesce(F.get(acc["c"], goes), F.lit(0))
-            s = F.when(comes == goes, acc["s"]).otherwise(acc["s"] + clog(was_in + 1) - clog(was_in) + F.when(goes >= 0, clog(was_out - 1) - clog(was_out)).otherwise(F.lit(0.0)))
+            before = F.slice(codes, F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)))
+            count = lambda c: F.size(before) - F.size(F.array_remove(before, c))
+            comes, goes = F.get(codes, i), F.get(codes, i - window)
+            was_in, was_out = count(comes), F.coalesce(count(goes), F.lit(0))
+            lost = F.when(i >= window, clog(was_out - 1) - clog(was_out)).otherwise(F.lit(0.0))
+            s = F.when(F.coalesce(comes == goes, F.lit(False)), acc["s"]).otherwise(acc["s"] + clog(was_in + 1) - clog(was_in) + lost)
             size = F.least((i + 1).cast("double"), wide)
             full = i + 1 >= F.least(n, F.lit(window))
-            return F.struct(counts.alias("c"), s.alias("s"), F.when(full, F.greatest(acc["h"], F.log2(size) - s / size)).otherwise(acc["h"]).alias("h"))
+            return F.struct(s.alias("s"), F.when(full, F.greatest(acc["h"], F.log2(size) - s / size)).otherwise(acc["h"]).alias("h"))
 
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("h"))
         return F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), start, step, lambda acc: acc["h"])
 
-    codes = F.transform(F.split(text, ""), lambda x: F.least(F.ascii(x), F.lit(127)))
+    codes = F.transform(F.split(text, ""), F.ascii)
     return F.when(n == 0, F.lit(0.0)).otherwise(F.element_at(F.transform(F.array(codes), walk), 1))
 
 

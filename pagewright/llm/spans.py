@@ -13,12 +13,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<s:int,e:int,m:string>>"
+#: Elements of an array that one fold runs over; a fold that gathers an array costs the square of this, not of the array.
+BLOCK = 256
 
 
 def no_spans() -> Column:
     return F.array().cast(SPAN)
 
 
+def running(items: Column, kind: str, width, make) -> Column:
+    """An array made of ``items`` (cast to ``kind``) by ``make(item, at)``, where ``at`` sums up ``width(item)`` of those before.
+
+    Blocks of ``BLOCK`` items are folded each for itself, then their sums, so the cost doesn't grow with the square of the items.
+    """
+    n = F.size(items)
+    places = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / BLOCK), F.lit(0)).cast("int"))
+    sums = "struct<at:int,out:array<int>>"
+    start = lambda: F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")).cast(sums)
+
+    def scan(values: Column) -> Column:  # the sums before each value, and of all
+        return F.aggregate(values, start(), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")).cast(sums))
+
+    block = lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK))
+    parts = F.transform(places, lambda b: F.struct(block(b).alias("items"), scan(F.transform(block(b), width)).alias("sums")))
+
+    def joined(parts: Column) -> Column:
+        bases = scan(F.transform(parts, lambda p: p["sums"]["at"]))["out"]
+        placed = F.zip_with(parts, bases, lambda p, base: F.zip_with(p["items"], p["sums"]["out"], lambda x, at: make(x, at + base)))
+        return F.flatten(placed)
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + width(x)).alias("at"), F.concat(acc["out"], F.array(make(x, acc["at"]))).alias("out"))
+
+    few = F.aggregate(items, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    return F.when(n <= BLOCK, few).otherwise(F.element_at(F.transform(F.array(parts), joined), 1)).cast(kind)
+
+
 def find(df: DataFrame, patterns: dict[str, tuple[str, str]], text: str = "text") -> DataFrame:
     """Adds a column of spans ``array<struct<s,e,m>>`` for each name: the matches of its pattern in ``text``.
 
@@ -30,15 +60,13 @@ def find(df: DataFrame, patterns: dict[str, tuple[str, str]], text: str = "text"
     def places(name: str, pattern: str) -> Column:
         m = F.col(f"_{name}")
         gaps = F.split(t, pattern, -1)
-        start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
+        pairs = F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda a, b: F.struct(a.alias("m"), F.length(b).alias("g"), F.length(a).alias("n")))
 
-        def step(acc: Column, x: Column) -> Column:
-            s = acc["at"] + F.length(x["g"])
-            e = s + F.length(x["m"])
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+        def make(x: Column, at: Column) -> Column:
+            s = at + x["g"]
+            return F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["m"].alias("m"))
 
-        pairs = F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda a, b: F.struct(a.alias("m"), b.alias("g")))
-        return F.when(F.size(m) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(no_spans())
+        return F.when(F.size(m) > 0, running(pairs, SPAN, lambda x: x["g"] + x["n"], make)).otherwise(no_spans())
 
     return df.withColumns({n: places(n, p) for n, (_, p) in patterns.items()}).drop(*[f"_{n}" for n in patterns])
 

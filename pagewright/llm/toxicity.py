@@ -1,189 +1,224 @@
-"""Toxicity by compression distance: zstandard dictionaries of ordinary and of toxic text.
+"""Toxicity by compression distance: zstandard dictionaries trained apart on toxic and on ordinary text.
 
-A window is a word behind a carrier (a stretch of ordinary text that both dictionaries hold, so that what a frame
-costs cancels out). It is compressed once with the dictionary of ordinary text and once with that of toxic text, and
-falls in a cell by how many bytes the latter saves and how many it takes. Cells have weights calibrated on documents
-that neither dictionary has seen, and a logistic regression of the windows' weights gives the score.
+A window is a word of a text, or a piece of at most ``WIDTH`` characters of a longer run, between blanks. Each of ``PAIRS``
+is two dictionaries of one size, which zstandard trains on the windows of toxic and of ordinary documents (a window
+counts once a document, so that one document's repetitions don't fill a dictionary). A window is compressed with
+both, behind a carrier (a stretch of the ordinary dictionary, so that short frames are not stored raw), and falls in a
+cell by the bytes that the toxic dictionary saves, the bytes it takes, and the window's length. Documents that no
+dictionary has seen calibrate the cells: a cell's weight is the log odds of toxic documents that have it, and a
+logistic regression on the weights of all windows of a text gives the score, whose threshold is 0.5.
 
-The ordinary dictionary is trained by zstandard on ordinary documents. The toxic one has the same content and, behind
-it, the windows of toxic documents whose document frequency differs from ordinary documents by over ``CONTRAST``
-standard errors, the most frequent last, where zstandard finds them at the least distance.
+Windows of 64 or 256 bytes were measured first: their lengths differ more by which common phrases a dictionary happens
+to hold than by a few toxic words (README has the figures).
 
-Only the labelled rows that training reads are bounded: ``SAMPLE`` documents of each label, the first by a hash of their
-ids. Every document is scored over its whole text.
+Only the labelled rows that training reads are bounded: about ``SAMPLE`` documents of each label, those whose id's hash
+is under the label's threshold. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import held_out, prepare, ship
+from pagewright.llm.common import held_out, prepare, sampled, share, ship
 
 ship(__name__)
 
 #: Training documents of each label: ordinary, toxic.
 SAMPLE = (4000, 2500)
-CONTRAST, LEVEL, BASE_BYTES, TOXIC_BYTES, CACHE = 5.0, 19, 32_768, 8_192, 400_000
-#: Bytes of ordinary text that train the ordinary dictionary, spread evenly over all of the sample, and of one piece of it.
-TEXT_BYTES, PIECE = 8_000_000, 200
-WORD = re.compile(r"[^\W_]+")
+#: Pairs of dictionaries: bytes of each, and whether the windows it is trained on are shuffled.
+PAIRS = ((8192, False), (8192, True), (16384, True))
+#: COVER's segment and d-mer sizes, the compression level, blanks on either side of a window, its characters at most.
+SEGMENT, DMER, LEVEL, BLANKS, WIDTH = 16, 8, 19, 3, 24
+#: A cell counts from this log odds and as many toxic documents on; the sum of a text's weights is squashed at ``FULL``.
+ODDS, SEEN, FULL = 1.0, 3, 30.0
+CACHE = 400_000
+WORD = re.compile(r"[^\W_]{1,%d}" % WIDTH)
+PAD = b" " * BLANKS
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+def windows_of(text: str | None) -> Counter:
+    """The windows of a whole text, with how often each occurs."""
+    return Counter(WORD.findall(text.lower())) if text else Counter()
+
+
+def padded(window: str) -> bytes:
+    return PAD + window.encode("utf-8", "surrogatepass") + PAD
+
+
+def trained(windows: list[bytes], size: int) -> bytes:
+    """The content of a dictionary of ``size`` bytes that zstandard trains on the windows; their own bytes if it can't."""
+    try:  # room for the header, which goes
+        return zstandard.train_dictionary(size + 1200, windows, k=SEGMENT, d=DMER).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too little text to train on
+        return b"".join(windows)[-size:]
+
+
+def sizer(content: bytes):
+    """A function from bytes to their compressed length with this dictionary."""
+    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(level=LEVEL)
+    compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+    return lambda raw: len(compress(raw))
+
+
+@dataclass
+class Pair:
+    """Two dictionaries and the weights of the cells."""
+
+    ordinary: bytes
+    toxic: bytes
+    weights: dict[tuple[int, int, int], float] = field(default_factory=dict)
+
+    def cells(self):
+        """A function from a window to its cell."""
+        carrier, ordinary, toxic = self.ordinary[-40:-8], sizer(self.ordinary), sizer(self.toxic)
+        o0, t0 = ordinary(carrier + PAD), toxic(carrier + PAD)
+
+        def cell(window: str, wanted: set | None = None) -> tuple[int, int, int] | None:
+            """The cell; None if its last two numbers are not among those ``wanted``, without compressing twice."""
+            raw = carrier + padded(window)
+            takes, size = toxic(raw) - t0, min(len(raw), 64)
+            return None if wanted is not None and (takes, size) not in wanted else (ordinary(raw) - o0 - takes, takes, size)
+
+        return cell
 
 
 @dataclass
 class Model:
-    """What the executors get: two dictionaries, the carrier, cell weights and the regression."""
+    """What the executors get: the pairs and the regression."""
 
-    base: bytes = b""
-    toxic: bytes = b""
-    carrier: bytes = b""
-    weights: dict[tuple[int, int], float] = field(default_factory=dict)
-    mean: list[float] = field(default_factory=lambda: [0.0] * 4)
-    scale: list[float] = field(default_factory=lambda: [1.0] * 4)
-    slope: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0, 0.0, -5.0])
+    pairs: list[Pair] = field(default_factory=list)
+    mean: list[float] = field(default_factory=list)
+    scale: list[float] = field(default_factory=list)
+    slope: list[float] = field(default_factory=list)
+    bias: float = -5.0
 
-    def scorer(self):
-        """A function from a text to its score; keeps the cells of at most ``CACHE`` words."""
-        if not self.weights:
-            return lambda text: 1 / (1 + math.exp(-self.slope[4]))
-        sizes = []
-        for content in (self.base, self.base + self.toxic):
-            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            sizes.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        ordinary, toxic = sizes
-        bare = self.carrier + b" "
-        o0, t0 = len(ordinary(bare)), len(toxic(bare))
-        known: dict[str, tuple[int, int]] = {}
-
-        def cell(word: str) -> tuple[int, int]:
-            got = known.get(word)
+    def features(self):
+        """A function from a text's windows to its numbers; keeps the weights of at most ``CACHE`` windows."""
+        cells, known = [(p.cells(), p.weights, {c[1:] for c in p.weights}) for p in self.pairs], {}
+
+        def weigh(window: str) -> tuple[float, ...]:
+            got = known.get(window)
             if got is None:
-                window = self.carrier + f" {word} ".encode("utf-8", "surrogatepass")
-                o, t = len(ordinary(window)) - o0, len(toxic(window)) - t0
                 if len(known) >= CACHE:
                     known.clear()
-                got = known[word] = (max(-3, min(9, o - t)), max(0, min(12, t)))
+                got = tuple(weights.get(cell(window, wanted), 0.0) for cell, weights, wanted in cells)
+                got = known[window] = got if any(got) else ()
             return got
 
-        def features(text: str | None) -> tuple[float, float, float, float]:
-            counts = Counter(words_of(text))
-            total, most, kinds, weights = 0.0, 0.0, 0, self.weights
-            for word, n in counts.items():
-                w = weights.get(cell(word))
-                if w:
-                    total, most, kinds = total + n * w, max(most, w), kinds + 1
-            return min(total, 30.0), most, float(kinds), math.log1p(sum(counts.values()))
+        def numbers(windows: Counter) -> list[float]:
+            found = [(w, n) for window, n in windows.items() if (w := weigh(window))]
+            out = []
+            for k in range(len(cells)):
+                mine = [(w[k], n) for w, n in found if w[k]]
+                out += [min(sum(w * n for w, n in mine), FULL), max((w for w, _ in mine), default=0.0), float(len(mine))]
+            return [*out, math.log1p(sum(windows.values()))]
+
+        return numbers
+
+    def scorer(self):
+        """A function from a text to its score."""
+        numbers = self.features()
 
         def score(text: str | None) -> float:
-            z = self.slope[4] + sum(b * (x - m) / s for b, x, m, s in zip(self.slope, features(text), self.mean, self.scale, strict=False))
+            z = self.bias
+            if self.slope:
+                z += sum(b * (x - m) / s for b, x, m, s in zip(self.slope, numbers(windows_of(text)), self.mean, self.scale, strict=True))
             return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
-        score.cell, score.features = cell, features
         return score
 
 
-class Spread:
-    """Pieces of all texts given: every one while they fit in ``limit`` bytes, else every second, every fourth and so on."""
-
-    def __init__(self, limit: int) -> None:
-        self.most, self.step, self.seen, self.pieces = max(1, limit // PIECE), 1, 0, []
-
-    def add(self, line: bytes) -> None:
-        for i in range(0, len(line), PIECE):
-            if self.seen % self.step == 0:
-                self.pieces.append(line[i : i + PIECE])
-                if len(self.pieces) > self.most:
-                    self.pieces, self.step = self.pieces[::2], self.step * 2
-            self.seen += 1
-
-
-def contrast(seen: tuple[Counter, Counter], n: tuple[int, int]) -> dict[str, int]:
-    """Windows of toxic documents that stand out, with their document frequency."""
-    out = {}
-    for word, hits in seen[1].items():
-        p1, p0, p = hits / n[1], (seen[0][word] + 0.5) / (n[0] + 1), (hits + seen[0][word]) / (n[0] + n[1])
-        if hits > 1 and p1 > 4 * p0 and p1 - p0 > CONTRAST * math.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-12):
-            out[word] = hits
-    return out
-
-
-def fit(rows: Iterator[tuple[str | None, int]], text_bytes: int = TEXT_BYTES, toxic_bytes: int = TOXIC_BYTES) -> Model:
-    """Train on (text, label 0 or 1): three of five rows make the dictionaries, the others calibrate."""
-    seen, n, spread, rest = (Counter(), Counter()), [0, 0], Spread(text_bytes), []
-    for k, (text, label) in enumerate(rows):
-        if k % 5 >= 3:
-            rest.append((text, label))
-            continue
-        words = words_of(text)
-        n[label] += 1
-        seen[label].update(set(words))
-        if not label:
-            spread.add(f" {' '.join(words)} ".encode())
-    model, samples = Model(), spread.pieces
-    if min(n) == 0 or len(samples) < 50 or len({y for _, y in rest}) < 2:
-        return model
-    found = contrast(seen, (n[0], n[1]))
-    try:
-        model.base = zstandard.train_dictionary(BASE_BYTES, samples, k=32, d=6).as_bytes()[1200:]
-    except zstandard.ZstdError:  # too little text to train on: the text itself
-        model.base = b"".join(samples)[-BASE_BYTES:]
-    model.toxic = f" {' '.join(sorted(found, key=lambda w: (found[w], w)))} ".encode()[-toxic_bytes:]
-    model.carrier = model.base[-40:-8]
-    model.weights = {(0, 0): 0.0}
-    cell = model.scorer().cell
-    hits, m = (Counter(), Counter()), (sum(not y for _, y in rest), sum(y for _, y in rest))
-    for text, y in rest:
-        hits[y].update({cell(w) for w in set(words_of(text))})
-    weigh = {c: math.log((hits[1][c] + 0.5) / (m[1] + 1)) - math.log((hits[0][c] + 0.5) / (m[0] + 1)) for c in hits[1] if c[0] > 0}
-    model.weights = {c: w for c, w in weigh.items() if w > 1} or {(0, 0): 0.0}
-    features = model.scorer().features
-    x, y = np.array([features(t) for t, _ in rest]), np.array([y for _, y in rest], float)
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    x = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    b = np.zeros(5)
+def cell_weights(pair: Pair, texts: list[tuple[Counter, int]]) -> dict[tuple[int, int, int], float]:
+    """Log odds of the cells in which the toxic dictionary saves bytes, by how many documents of each label have them."""
+    known: dict[str, tuple[int, int, int]] = {}
+    cell, hits, n = pair.cells(), (Counter(), Counter()), Counter(y for _, y in texts)
+    for windows, y in texts:
+        hits[y].update({known[w] if w in known else known.setdefault(w, cell(w)) for w in windows})
+    odds = {c: math.log((k + 0.5) / (n[1] + 1)) - math.log((hits[0][c] + 0.5) / (n[0] + 1)) for c, k in hits[1].items() if c[0] > 0 and k >= SEEN}
+    return {c: w for c, w in odds.items() if w > ODDS}
+
+
+def regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Logistic regression by Newton steps; the last weight is the constant."""
+    x, b = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))
-        b += np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.05 * np.eye(5), x.T @ (y - p) - 0.05 * b)
-    model.mean, model.scale, model.slope = mean.tolist(), scale.tolist(), b.tolist()
-    return model
+        b += np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * np.eye(len(b)), x.T @ (y - p) - ridge * b)
+    return b
+
+
+def fit(rows: Iterable[tuple[Counter, int]], pairs: tuple = PAIRS) -> Model:
+    """Train on (windows, label 0 or 1): three of five rows make the dictionaries, the others calibrate."""
+    teach, rest = ([], []), []
+    for k, (windows, label) in enumerate(rows):
+        if k % 5 < 3:
+            teach[label].append(windows)
+        else:
+            rest.append((windows, label))
+    if not (teach[0] and teach[1]) or len({y for _, y in rest}) < 2:
+        return Model()
+    made = []
+    for size, shuffled in pairs:
+        contents = []
+        for texts in teach:
+            samples = [padded(w) for windows in texts for w in sorted(windows)]
+            if shuffled:
+                random.Random(3).shuffle(samples)
+            contents.append(trained(samples, size))
+        made.append(Pair(*contents))
+        made[-1].weights = cell_weights(made[-1], rest)
+    numbers = Model(made).features()
+    x, y = np.array([numbers(w) for w, _ in rest]), np.array([y for _, y in rest], float)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    slope = regression((x - mean) / scale, y)
+    return Model(made, mean.tolist(), scale.tolist(), slope[:-1].tolist(), float(slope[-1]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int], id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, toxic) of the sampled documents; an id that is labelled more than once counts as its highest label."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(id, toxic, text) of the sampled documents, one row an id; an id that is labelled more than once counts as its highest label."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    # The plain limit comes first: Spark then keeps no more rows of a label from any task.
-    chosen = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max(sample))
-    chosen = chosen.where(F.col("k") <= F.when(F.col("toxic") == 1, sample[1]).otherwise(sample[0]))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").select("text", "toxic")
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    chosen = known.where(F.when(F.col("toxic") == 1, sampled("id", sample[1], counts.get(1, 0))).otherwise(sampled("id", sample[0], counts.get(0, 0))))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.join(chosen, "id").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+
+
+def window_rows(rows: DataFrame) -> Iterator[tuple[Counter, int]]:
+    """(windows, toxic) on the driver, by the hash of the id; texts are cut into windows where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [windows_of(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["at", "toxic", "words", "n"])
+
+    cut = rows.select(F.xxhash64("id").alias("at"), "toxic", "text").mapInArrow(run, "at long, toxic int, words array<string>, n array<int>")
+    same: dict[str, str] = {}
+    got = [(r["at"], Counter({same.setdefault(w, w): n for w, n in zip(r["words"], r["n"], strict=True)}), r["toxic"]) for r in cut.toLocalIterator()]
+    return ((windows, toxic) for _, windows, toxic in sorted(got, key=lambda r: r[0]))
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", text_bytes: int = TEXT_BYTES, toxic_bytes: int = TOXIC_BYTES) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """``doc_id, held_out, score, predicted``, one row for each row of ``docs``.
 
     Null and empty texts have no windows and get the score of that. Ids with a null label, or that are null, teach
-    nothing; repeated rows are scored alike; without both labels in the training rows every score is the same, below
-    0.5; other columns are ignored; an empty table gives an empty one. The ordinary dictionary is trained on at most
-    ``text_bytes`` of the sample's ordinary text, evenly spread over whole documents; of the toxic windows those in the
-    most documents are kept, up to ``toxic_bytes``.
+    nothing; repeated rows are scored alike, and of rows that share an id the smallest text teaches; without both labels
+    in the training rows every score is the same, below 0.5; other columns are ignored; an empty table gives an empty one.
     """
     prepare(docs.sparkSession)
     rows = training_rows(docs, labels, sample, id_col, text_col, label_col)
-    told = docs.sparkSession.sparkContext.broadcast(fit(((r["text"], r["toxic"]) for r in rows.toLocalIterator()), text_bytes, toxic_bytes))
+    told = share(docs.sparkSession, fit(window_rows(rows)))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,5 +226,5 @@ def score(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rate(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
-    scored = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rated = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return rated.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -287,6 +287,16 @@ def test_added_spans(spark):
     assert cut(secrets.digests(secrets.scan(df)).first()["spans"]) == ["ghp_x9Kd83nQmPzL02VbWq7TtYyR5s"]
 
 
+def test_long_runs_take_no_stack(spark):
+    runs = ["see " + "ab/" * 300_000 + " end", "ab-" * 20_000, "ab_cd1_" * 20_000, "a1b2" * 30_000 + "_", "AB12 " * 20_000, "a@b.co " * 3000, "=" * 50_000, "x9Kd83nQmPzL02VbWq7TtYyR5s" * 3000]
+    got = secrets.digests(secrets.scan(spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string"))).collect()
+    spans = {r["doc_id"]: r["spans"] for r in got}
+    assert all(spans[k] == "" for k in (0, 1, 2, 4, 5, 6)) and spans[7] == f"random:0:{26 * 3000}"
+    many = spark.createDataFrame([(0, "é a@b.co " * 2000)], "doc_id long, text string")
+    found = [(x["s"], x["e"]) for x in pii.scan(many).first()["email"]]
+    assert found == [(9 * k + 2, 9 * k + 8) for k in range(2000)]
+
+
 def test_entropy(spark):
     import math
     from collections import Counter
@@ -396,15 +406,56 @@ def test_every_language_is_learned(spark):
 # 10
 
 
-def test_dictionary_text_is_spread():
-    spread = toxicity.Spread(1000 * toxicity.PIECE)
-    for k in range(300):
-        spread.add(bytes([k % 256]) * (toxicity.PIECE * 250))
-    assert 500 <= len(spread.pieces) <= 1000 and spread.seen == 75_000
-    assert {p[0] for p in spread.pieces} == set(range(256))
-    whole = toxicity.Spread(10_000_000)
-    whole.add(b"a" * 300 * toxicity.PIECE + b"end")
-    assert b"".join(whole.pieces) == b"a" * 300 * toxicity.PIECE + b"end"
+def test_windows_and_dictionaries():
+    assert toxicity.windows_of(None) == {} and toxicity.windows_of("A b, a_" + "x" * 50) == {"a": 2, "b": 1, "x" * 24: 2, "x" * 2: 1}
+    r = random.Random(2)
+    word = lambda: "".join(r.choice(["th", "er", "an", "on", "que", "ch", "en"]) for _ in range(4))
+    rows = [(toxicity.Counter([word() for _ in range(60)] + (["gromblik", "zufferat"] if k % 4 == 0 and y else [])), int(y)) for k, y in ((k, k % 2 == 0) for k in range(600))]
+    model = toxicity.fit(rows)
+    assert len(model.pairs) == len(toxicity.PAIRS) and all(len(p.ordinary) == len(p.toxic) == size for p, (size, _) in zip(model.pairs, toxicity.PAIRS, strict=True))
+    assert any(b"gromblik" in p.toxic for p in model.pairs) and not any(b"gromblik" in p.ordinary for p in model.pairs)
+    rate = model.scorer()
+    assert rate("gromblik zufferat onerchan") > rate("onerchan thanerth ererchan")
+    assert toxicity.fit(rows[:1]).scorer()("any") < 0.5
+
+
+def test_scores_by_brute_force():
+    """The score again, from compressed lengths of every window."""
+    import math
+
+    import zstandard
+
+    r = random.Random(4)
+    text = lambda bad: " ".join(["".join(r.choice(["th", "er", "an", "on"]) for _ in range(3)) for _ in range(40)] + ["gromblik"] * bad)
+    texts = [(text(k % 2), k % 2) for k in range(300)]
+    model = toxicity.fit([(toxicity.windows_of(t), y) for t, y in texts])
+    rate = model.scorer()
+
+    def length(content, raw):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=19, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw))
+
+    for t, _ in texts[:6]:
+        x, words = [], re.findall(r"[^\W_]{1,24}", t.lower())
+        for p in model.pairs:
+            held = p.ordinary[-40:-8]
+            got = []
+            for w in words:
+                raw, bare = held + b"   " + w.encode() + b"   ", held + b"   "
+                takes = length(p.toxic, raw) - length(p.toxic, bare)
+                got.append(p.weights.get((length(p.ordinary, raw) - length(p.ordinary, bare) - takes, takes, min(64, len(raw))), 0.0))
+            x += [min(sum(got), 30.0), max(got), len({w for w, g in zip(words, got, strict=True) if g})]
+        x.append(math.log1p(len(words)))
+        z = model.bias + sum(b * (v - m) / s for b, v, m, s in zip(model.slope, x, model.mean, model.scale, strict=True))
+        assert abs(rate(t) - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_training_rows_are_sampled_by_hash(spark):
+    docs = spark.createDataFrame([(k, f"t {k}") for k in range(3000)] + [(1, "again")] * 50 + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3000)] + [(2, None), (None, 1), (4, 1)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, (300, 5000)).collect()
+    assert len({r["id"] for r in got}) == len(got) and 200 < sum(not r["toxic"] for r in got) < 400
+    assert sum(r["toxic"] for r in got) > 1150 and {r["id"]: r["toxic"] for r in got}.get(4) == 1
 
 
 def test_toxicity(spark, odd):
@@ -412,7 +463,8 @@ def test_toxicity(spark, odd):
     rows = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
     right = sum(r["predicted"] == r["toxic"] for r in rows) / len(rows)
     clean = [r["predicted"] for r in rows if not r["toxic"]]
-    assert right > 0.95 and sum(clean) / len(clean) < 0.02 and all(0 <= r["score"] <= 1 for r in rows)
+    caught = [r["predicted"] for r in rows if r["toxic"]]
+    assert right > 0.95 and sum(clean) / len(clean) < 0.02 and sum(caught) / len(caught) > 0.7 and all(0 <= r["score"] <= 1 for r in rows)
     got = toxicity.score(odd, labels.limit(0))
     assert got.count() == odd.count() and {r["predicted"] for r in got.collect()} == {0}
 
