@@ -11,6 +11,9 @@ Words follow Zipf's law, so the work is divided by frequency:
    text, in an array beside the text and folded there, inside the same row.
 
 Nothing of the text is shuffled, and no broadcast grows with the corpus.
+
+A fold costs the square of a word's length. Runs of over ``FOLD_BYTES`` bytes without a break, which hardly a text has, take
+the same merges from a heap instead.
 """
 
 from __future__ import annotations
@@ -25,25 +28,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from pagewright.llm.common import Scratch, prepare, ship
+from pagewright.llm.common import Scratch, prepare, share, ship
 
 ship(__name__)
 
 #: Entries of the broadcast head, characters of a word in it.
 HEAD, HEAD_CHARS = 1 << 19, 64
-#: Bytes of a word up to which merges are folded by higher-order functions, whose cost is quadratic; longer
-#: words (runs of one kind of character without a space) take the same merges from a heap.
-FOLD_BYTES = 160
-#: Buckets of the literal rank map. Spark searches a map from its start, so it is dealt into small ones.
-BUCKETS = 1 << 14
-NONE = 2147483647
-#: Bits of an id, and of a place in a word, in the numbers that the fold carries.
-ID_BITS, PLACE_BITS = 18, 8
+#: Bytes of a word up to which merges are folded by higher-order functions; longer ones take them from a heap.
+FOLD_BYTES = 1024
+#: Bits of an id or rank, and of a place in a word, in the numbers that the fold carries. No rank reaches ``NONE``.
+ID_BITS, PLACE_BITS = 18, 27
+NONE = (1 << ID_BITS) - 1
+#: Sizes of the two halves of the literal rank map, primes.
+HALVES = (200_003, 299_993)
 
 # The letters, numbers and white space below U+0250.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -71,33 +72,43 @@ def splitter(pattern: str):
     return lambda text: (general if other.search(text) else plain).findall(text)
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as one literal, with pieces as their ids.
+def rank_table(ranks: dict[bytes, int]) -> list[int]:
+    """The rank map of pairs of pieces as a cuckoo hash table, so that a search looks at two places.
 
-    A pair of pieces ``a, b`` has the key ``a << 32 | b`` and the rank of the bytes of both. Spark searches a map
-    from its start, so pairs are dealt into buckets by ``xxhash64(key)``; a bucket is its keys, then its ranks. The
-    first bucket instead has the ids of the 256 single bytes.
+    A pair of pieces ``a, b`` has the key ``a << ID_BITS | b``; its entry is the key and the rank of the bytes of both. It stands
+    at ``key % HALVES[0]`` of the first half or ``key % HALVES[1]`` of the second; free places have -1.
     """
-    keys: list[list[str]] = [[] for _ in range(BUCKETS)]
-    values: list[list[str]] = [[] for _ in range(BUCKETS)]
+    one, two = HALVES
+    table = [-1] * (one + two)
+    if max(ranks.values(), default=0) >= NONE:
+        raise ValueError(f"ranks must be under {NONE}")
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
-            if (a := ranks.get(piece[:cut])) is not None and (b := ranks.get(piece[cut:])) is not None:
-                key = a << 32 | b
-                at = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42) % BUCKETS
-                keys[at].append(str(key))
-                values[at].append(str(rank))
-    single = ",".join(str(ranks[bytes([i])]) for i in range(256))
-    rows = [f"[[{single}]]", *(f"[[{','.join(k)}],[{','.join(v)}]]" for k, v in zip(keys, values, strict=True))]
-    return F.from_json(F.lit("[" + ",".join(rows) + "]"), "array<array<array<bigint>>>")
+            if (a := ranks.get(piece[:cut])) is None or (b := ranks.get(piece[cut:])) is None:
+                continue
+            entry, at = (a << ID_BITS | b) << ID_BITS | rank, -1
+            for _ in range(500):
+                key = entry >> ID_BITS
+                at = key % one if at != key % one else one + key % two
+                table[at], entry = entry, table[at]
+                if entry < 0:
+                    break
+            else:
+                raise ValueError("too many pairs for the rank map")
+    return table
+
+
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """``rank_table`` as one literal."""
+    return F.from_json(F.lit(f"[{','.join(map(str, rank_table(ranks)))}]"), "array<bigint>")
 
 
 def rank_of(ranks: Column, a: Column, b: Column) -> Column:
     """Rank of two pieces given by id, or ``NONE``."""
-    key = F.shiftleft(a, 32).bitwiseOR(b)
-    bucket = F.get(ranks, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)) + 1)
-    at = F.array_position(F.get(bucket, F.lit(0)), key)
-    return F.coalesce(F.get(F.get(bucket, F.lit(1)), at - 1), F.lit(NONE))
+    key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
+    first = F.get(ranks, (key % HALVES[0]).cast("int"))
+    second = F.get(ranks, (key % HALVES[1] + HALVES[0]).cast("int"))
+    return F.when(F.shiftright(first, ID_BITS) == key, first.bitwiseAND(F.lit(NONE))).when(F.shiftright(second, ID_BITS) == key, second.bitwiseAND(F.lit(NONE))).otherwise(F.lit(NONE).cast("bigint"))
 
 
 def let(value: Column, body) -> Column:
@@ -106,43 +117,38 @@ def let(value: Column, body) -> Column:
 
 
 def merge_fold(word: Column, ranks: Column) -> Column:
-    """``array<bigint>``: the ids of a word given as binary, of at most ``FOLD_BYTES`` bytes.
+    """``array<bigint>``: the ids of a word, given as the ids of its bytes (``array<bigint>``).
 
     The fold carries one number for each piece: the rank of its pair with the next piece, its place and its id, from
     high bits to low. The lowest number is so the leftmost pair of the lowest rank, and that rank is the id of the
     merged piece; a step merges it and ranks anew the two pairs that the merged piece is in. ``ranks`` should be a
     lambda variable (see ``let``), so that the literal stands in the plan once.
     """
-    size, none = F.octet_length(word), F.array().cast("array<bigint>")
+    size, none = F.size(word), F.array().cast("array<bigint>")
     mask = lambda bits: F.lit((1 << bits) - 1)
     id_of = lambda v: v.bitwiseAND(mask(ID_BITS))
     low = ID_BITS + PLACE_BITS
 
     def packed(rank: Column, rest: Column) -> Column:
-        return F.shiftleft(rank.cast("bigint"), low).bitwiseOR(rest)
+        return F.shiftleft(rank, low).bitwiseOR(rest)
 
     def merged(v: Column, least: Column, j: Column) -> Column:
         new = F.shiftright(least, low)
         before, after = F.get(v, j - 2), F.get(v, j + 1)
         left = F.when(j > 1, F.array(packed(rank_of(ranks, id_of(before), new), before.bitwiseAND(mask(low))))).otherwise(none)
-        right = F.when(after.isNull(), NONE).otherwise(rank_of(ranks, new, id_of(after)))
+        right = F.when(after.isNull(), F.lit(NONE).cast("bigint")).otherwise(rank_of(ranks, new, id_of(after)))
         own = packed(right, least.bitwiseAND(F.lit(((1 << PLACE_BITS) - 1) << ID_BITS)).bitwiseOR(new))
-        return F.concat(F.slice(v, F.lit(1), F.greatest(j - 2, F.lit(0))), left, F.array(own), F.slice(v, j + 2, F.lit(2 * FOLD_BYTES)))
+        return F.concat(F.slice(v, F.lit(1), F.greatest(j - 2, F.lit(0))), left, F.array(own), F.slice(v, j + 2, F.lit(1 << PLACE_BITS)))
 
     def step(v: Column, _: Column) -> Column:
         return let(F.array_min(v), lambda least: F.when(least >= (NONE << low), v).otherwise(let(F.array_position(v, least).cast("int"), lambda j: merged(v, least, j))))
 
-    def fold(ids: Column) -> Column:
-        def one(i: Column) -> Column:
-            rank = F.when(i + 1 < size, rank_of(ranks, F.get(ids, i), F.get(ids, i + 1))).otherwise(NONE)
-            return packed(rank, F.shiftleft(i.cast("bigint"), ID_BITS).bitwiseOR(F.get(ids, i)))
+    def one(a: Column, i: Column) -> Column:
+        rank = F.when(i + 1 < size, rank_of(ranks, a, F.get(word, i + 1))).otherwise(F.lit(NONE).cast("bigint"))
+        return packed(rank, F.shiftleft(i.cast("bigint"), ID_BITS).bitwiseOR(a))
 
-        start = F.transform(F.sequence(F.lit(0), size - 1), one)
-        return F.aggregate(F.sequence(F.lit(1), size), start, step, lambda v: F.transform(v, id_of))
-
-    code = lambda i: F.conv(F.hex(F.substring(word, i, F.lit(1))), 16, 10).cast("int")
-    single = lambda: F.transform(F.sequence(F.lit(1), size), lambda i: F.get(F.get(F.get(ranks, F.lit(0)), F.lit(0)), code(i)))
-    return F.when(size == 0, none).otherwise(let(single(), fold))
+    folded = F.aggregate(F.sequence(F.lit(2), size), F.transform(word, one), step, lambda v: F.transform(v, id_of))
+    return F.when(size < 2, word).otherwise(folded)
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -191,14 +197,22 @@ def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
     return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def byte_lists(words: list[bytes], ranks: dict[bytes, int]) -> pa.ListArray:
+    """The ids of the bytes of each word."""
+    single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+    ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(single[np.frombuffer(b"".join(words), np.uint8)]))
+
+
 def build_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, text_col: str = "text") -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Frequent words (at most ``head``), where the ids of each begin (one place more than words), and all their ids.
 
     Words are in the head from a least count on. A histogram of counts, with a few hundred classes at most, gives the
     least count for which they are no more than ``head``, so that no task orders them.
     """
-    scratch = Scratch(docs.sparkSession, "bpe")
-    counts = scratch.keep(word_counts(docs, pattern, text_col).where(F.octet_length(F.encode("word", "utf-8")) <= FOLD_BYTES))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "bpe")
+    counts = scratch.keep(word_counts(docs, pattern, text_col))
     level = F.floor(F.log2("n") * 16)
     told = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)
     least, held = None, 0
@@ -206,10 +220,15 @@ def build_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int
         if held + words > head:
             break
         least, held = at, held + words
-    lit = rank_literal(ranks)
-    raw = F.encode("word", "utf-8")
     top = counts.where(level >= least) if least is not None else counts.limit(0)
-    rows = top.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism).select("word", let(lit, lambda r: merge_fold(raw, r)).cast("array<int>").alias("ids")).toArrow()
+    known = share(spark, ranks)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), byte_lists([w.encode() for w in batch.column(0).to_pylist()], known.value)], ["word", "bytes"])
+
+    spelt = top.select("word").repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(spell, "word string, bytes array<bigint>")
+    rows = spelt.select("word", let(rank_literal(ranks), lambda r: merge_fold(F.col("bytes"), r)).cast("array<int>").alias("ids")).toArrow()
     scratch.drop()
     words, ids = rows["word"].combine_chunks(), rows["ids"].combine_chunks()
     del rows
@@ -219,6 +238,18 @@ def build_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int
     return words, starts - starts[0], flat
 
 
+class Lazy(dict):
+    """A dict that makes a missing value from its key, once."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        got = self[key] = self.make(key)
+        return got
+
+
 def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
     """The piece of each rank."""
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -246,75 +277,87 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     words, starts, flat = build_head(docs, ranks, pattern, head)
     n_head = len(words)
-    told_words = spark.sparkContext.broadcast(words)
-    told_ids = spark.sparkContext.broadcast((starts, flat))
-    told_ranks = spark.sparkContext.broadcast(ranks)
+    # What a worker makes of these once, for all of its tasks, is put beside them.
+    told = share(spark, {"words": words})
+    told_ids = share(spark, {"starts": starts, "flat": flat})
+    told_ranks = share(spark, ranks)
+    del words, starts, flat
     whole = docs.schema["doc_id"].dataType
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each word's place in the head, or behind it in the row's own array of other words."""
-        split, known = splitter(pattern), dict(zip(told_words.value.to_pylist(), range(n_head), strict=True))
+        """Each word's place in the head, or behind it in the row's own array of other words, as ids of their bytes."""
+        split, held = splitter(pattern), told.value
+        if "known" not in held:
+            held["known"] = dict(zip(held.pop("words").to_pylist(), range(n_head), strict=True))
+        known = held["known"].get
         for batch in batches:
-            codes, ends, rest = [], [0], []
+            codes, ends, rest, upto = [], [0], [], [0]
             for text in batch.column(1).to_pylist():
-                got = list(map(known.get, found := split(text or "")))
+                got = list(map(known, found := split(text or "")))
                 if None in got:
                     own: dict[str, int] = {}
                     got = [n_head + own.setdefault(w, len(own)) if c is None else c for c, w in zip(got, found, strict=True)]
-                    rest.append([w.encode() for w in own])
-                else:
-                    rest.append([])
+                    rest += [w.encode() for w in own]
                 codes.append(np.array(got, np.int32))
                 ends.append(ends[-1] + len(got))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int32))), pa.array(rest, pa.list_(pa.binary()))], ["doc_id", "codes", "rest"])
+                upto.append(len(rest))
+            flat = pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.array(upto, np.int32)), byte_lists(rest, told_ranks.value))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), flat), lists], ["doc_id", "codes", "rest"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (starts, flat), by_bytes = told_ids.value, told_ranks.value
-        pieces = pieces_of(by_bytes)
-        names = [str(i) for i in range(len(pieces))]
+        held, by_bytes = told_ids.value, told_ranks.value
+        starts, flat = held["starts"], held["flat"]
+        if "pieces" not in held:
+            pieces = held["pieces"] = pieces_of(by_bytes)
+            held["shown"] = Lazy(lambda c: " ".join(map(str, flat[starts[c] : starts[c + 1]].tolist())))
+            held["back"] = Lazy(lambda c: joined(flat[starts[c] : starts[c + 1]].tolist(), pieces))
+        pieces, shown, back = held["pieces"], held["shown"], held["back"]
         first, many = starts[:-1], np.diff(starts)
+
+        def own_words(rest: list[list[int]], folded: list[list[int] | None]) -> list[list[int]]:
+            return [merge_long(joined(w, pieces), by_bytes) if x is None else x for w, x in zip(rest, folded, strict=True)]
+
+        def digest(codes: np.ndarray, own: list[list[int]]) -> tuple[int, str, str]:
+            """How many ids, and the hashes of the ids and of what they decode to, one word's pieces after the other's."""
+            listed = codes.tolist()
+            if not own:
+                text, raw, n = map(shown.__getitem__, listed), map(back.__getitem__, listed), many[codes].sum()
+            else:
+                told, bits = [" ".join(map(str, x)) for x in own], [joined(x, pieces) for x in own]
+                text, raw = [shown[c] if c < n_head else told[c - n_head] for c in listed], [back[c] if c < n_head else bits[c - n_head] for c in listed]
+                n = many[codes[codes < n_head]].sum() + sum(len(own[c - n_head]) for c in listed if c >= n_head)
+            return int(n), hashlib.sha256(" ".join(text).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()
+
+        def ids_of(codes: np.ndarray, own: list[list[int]]) -> np.ndarray:
+            if own:
+                return np.concatenate([flat[starts[c] : starts[c + 1]] if c < n_head else own[c - n_head] for c in codes.tolist()]).astype(np.int32)
+            m = many[codes]
+            return flat[np.repeat(first[codes] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+
         for batch in batches:
-            got, ends, sha, back = [], [0], [], []
             codes_at, codes_all = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
             rest, folded = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for k in range(batch.num_rows):
-                codes = codes_all[codes_at[k] : codes_at[k + 1]]
-                f, m, ids = first, many, flat
-                if rest[k]:
-                    own = [merge_long(w, by_bytes) if x is None else x for w, x in zip(rest[k], folded[k], strict=True)]
-                    n = np.array([len(x) for x in own], np.int64)
-                    outer = codes >= n_head
-                    f = np.where(outer, (len(flat) + np.cumsum(n) - n)[np.where(outer, codes - n_head, 0)], first[np.where(outer, 0, codes)] if n_head else 0)
-                    m = np.where(outer, n[np.where(outer, codes - n_head, 0)], many[np.where(outer, 0, codes)] if n_head else 0)
-                    mine = np.array([i for x in own for i in x], np.int32)
-                    at = np.repeat(f - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                    ids = np.where(at < len(flat), flat[np.minimum(at, max(len(flat) - 1, 0))] if len(flat) else 0, mine[np.maximum(at - len(flat), 0)]).astype(np.int32)
-                else:
-                    m, f = many[codes], first[codes]
-                    ids = flat[np.repeat(f - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-                if digests:
-                    listed = ids.tolist()
-                    sha.append(hashlib.sha256(" ".join([names[i] for i in listed]).encode()).hexdigest())
-                    back.append(hashlib.sha256(joined(listed, pieces)).hexdigest())
-                else:
-                    got.append(ids)
-                ends.append(ends[-1] + len(ids))
+            each = ((codes_all[codes_at[k] : codes_at[k + 1]], own_words(rest[k], folded[k])) for k in range(batch.num_rows))
             if digests:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(np.array(ends, np.int64))), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                n, sha, decoded = zip(*(digest(*x) for x in each), strict=True) if batch.num_rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))], ["doc_id", "ids"])
+                got = [ids_of(*x) for x in each]
+                ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))], ["doc_id", "ids"])
 
     lit = rank_literal(ranks)
     kind = whole.simpleString()
-    coded = docs.mapInArrow(places, f"doc_id {kind}, codes array<int>, rest array<binary>")
-    folded = F.when(F.size("rest") == 0, F.array().cast("array<array<bigint>>")).otherwise(let(lit, lambda r: F.transform("rest", lambda w: F.when(F.octet_length(w) <= FOLD_BYTES, merge_fold(w, r)))))
+    coded = docs.mapInArrow(places, f"doc_id {kind}, codes array<int>, rest array<array<bigint>>")
+    folded = F.when(F.size("rest") == 0, F.array().cast("array<array<bigint>>")).otherwise(let(lit, lambda r: F.transform("rest", lambda w: F.when(F.size(w) <= FOLD_BYTES, merge_fold(w, r)))))
     return coded.withColumn("folded", folded).mapInArrow(finish, f"doc_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
     """Adds ``decoded binary``: the pieces of the ids, concatenated; null ids give null, unknown ids an error."""
     prepare(df.sparkSession)
-    told = df.sparkSession.sparkContext.broadcast(ranks)
+    told = share(df.sparkSession, ranks)
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "decoded"])
     at = df.columns.index(ids_col)
 
