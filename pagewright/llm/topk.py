@@ -1,30 +1,46 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has a bit for the sign of each component, in as many words of 64 bits as the widest vector needs. Codes are
-indexed by each of s segments of 16 bits, four a word. Round r probes every segment's values at distance r from the
-query's; a code at distance d has a segment within d // s, so after round r all codes at distance s r + s - 1 or less are known. A query is done when its k-th verified distance
-is within that. A code is taken in one round and for one segment only: its nearest segment, the first of equal ones.
-
-Equal codes are one node of the index, with its k smallest ids (no query needs more of them). A query's current k-th
-distance is a condition of the join, so that only codes which may still enter its result become rows.
+A vector's code has a bit for the sign of each component, in as many words of 64 bits as the widest vector needs. A code is
+cut into s segments of 16 bits. Round r looks, in every segment, for the values at distance r from the query's; a code at
+distance d has a segment within d // s, so after round r all codes at distance s r + s - 1 or less are known. A query
+is done when its k-th verified distance is within that. A code is taken in one round and for one segment only: its
+nearest segment, the first of equal ones.
+
+The index is chunks of ``CHUNK`` codes at most, the queries are blocks of ``BLOCK``, and every block meets every chunk: a
+stated query set against all rows, in blocks. Inside such a pair each segment's values are an index of buckets. A round
+either tries all values at its distance or, where these are more than the distinct values of the chunk, compares value with
+value. A query takes at most k rows from a chunk, and from the second round on only those within its k-th distance so far,
+so what is shuffled is k rows for each query and chunk. Spark broadcasts the blocks if their table is under its own limit
+(``spark.sql.autoBroadcastJoinThreshold``) and pairs partitions otherwise; nothing is collected.
+
+Equal codes count with their k smallest ids only, as no query needs more of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
+from math import comb
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import Scratch
+from pagewright.llm.common import Scratch, prepare, ship
+
+ship(__name__)
 
-BITS, SEGMENTS = 64, 4
-WIDTH = BITS // SEGMENTS
-LOW = (1 << WIDTH) - 1
+BITS, WIDTH = 64, 16
+SEGMENTS = BITS // WIDTH
+#: Codes of a chunk, and queries of a block.
+CHUNK, BLOCK = 32_768, 1_024
 
 
 def sign_code(vector: Column, words: int = 1) -> Column:
-    """A bit for each component that is over zero; null for a null or empty vector. A long, or an array of ``words`` longs."""
+    """``array<bigint>`` of ``words`` numbers with a bit for each component that is over zero; null for a null or empty vector."""
     bit = lambda i: F.when(F.get(vector, F.lit(i)) > 0, F.expr("1L")).otherwise(F.expr("0L"))
     codes = []
     for at in range(0, BITS * words, BITS):
@@ -32,34 +48,93 @@ def sign_code(vector: Column, words: int = 1) -> Column:
         for i in range(1, BITS):
             code = code.bitwiseOR(F.shiftleft(bit(at + i), i))
         codes.append(code)
-    return F.when(F.size(vector) > 0, codes[0] if words == 1 else F.array(*codes))
-
-
-def word(code: Column, i: int, words: int) -> Column:
-    return code if words == 1 else F.get(code, F.lit(i))
-
+    return F.when(F.size(vector) > 0, F.array(*codes))
 
-def segment(code: Column, j: int, words: int = 1) -> Column:
-    return F.shiftrightunsigned(word(code, j // SEGMENTS, words), WIDTH * (j % SEGMENTS)).bitwiseAND(F.lit(LOW)).cast("int")
 
+@cache
+def masks(radius: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)], np.uint16)
 
-def masks(radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)]
 
+def packed(df: DataFrame, most: int, value: str) -> DataFrame:
+    """Rows of at most ``most`` codes of ``df (code, value)``: ``codes`` as bytes, values as an array, in the order of the values.
 
-def distance(a: Column, b: Column, words: int = 1) -> Column:
-    apart = [F.bit_count(word(a, i, words).bitwiseXOR(word(b, i, words))) for i in range(words)]
-    return sum(apart[1:], apart[0])
-
-
-def first_found(q: Column, code: Column, j: int, radius: int, words: int = 1) -> Column:
-    """True if segment ``j``, at ``radius``, is the first of the nearest segments."""
-    ok = F.lit(True)
-    for i in range(SEGMENTS * words):
-        if i != j:
-            apart = F.bit_count(segment(q, i, words).bitwiseXOR(segment(code, i, words)))
-            ok = ok & (apart > radius if i < j else apart >= radius)
-    return ok
+    Null values come first. A partition's codes are packed as they come, so no group is collected.
+    """
+    kind = df.schema[value].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            table = table.take(pc.sort_indices(table, sort_keys=[(value, "ascending")], null_placement="at_start")).combine_chunks()
+            codes, values = table.column("code").combine_chunks(), table.column(value).combine_chunks()
+            raw = codes.flatten().to_numpy().astype("<i8").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)], ["codes", f"{value}s"])
+
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part, batch = batch.slice(0, most - n), batch.slice(most - n)
+                held.append(part)
+                n += part.num_rows
+                if n == most:
+                    yield out(held)
+                    held, n = [], 0
+        if n:
+            yield out(held)
+
+    return df.select("code", value).mapInArrow(run, f"codes binary, {value}s array<{kind}>")
+
+
+class Buckets:
+    """A chunk's codes by the value of one segment: distinct values, and which codes have each."""
+
+    def __init__(self, segment: np.ndarray) -> None:
+        self.order = np.argsort(segment, kind="stable")
+        self.values, self.starts, self.counts = np.unique(segment[self.order], return_index=True, return_counts=True)
+        self.place = np.full(1 << WIDTH, -1, np.int32)
+        self.place[self.values] = np.arange(len(self.values))
+
+    def at(self, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (which of ``asked``, code) whose values differ in exactly ``radius`` bits."""
+        if comb(WIDTH, radius) <= len(self.values):
+            probed = self.place[asked[:, None] ^ masks(radius)[None, :]]
+            which, slot = np.nonzero(probed >= 0)
+            bucket = probed[which, slot]
+        else:
+            which, bucket = np.nonzero(np.bitwise_count(asked[:, None] ^ self.values[None, :]) == radius)
+        n = self.counts[bucket]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(which, n), self.order[np.repeat(self.starts[bucket], n) + inside]
+
+
+def nearest(queries: np.ndarray, bounds: np.ndarray, codes: np.ndarray, buckets: list[Buckets], radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, code, distance) of the codes that this round finds within the queries' bounds, at most k of a query.
+
+    ``queries`` and ``codes`` are rows of 16-bit segments; of equal distances the first codes are taken.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    for j, bucket in enumerate(buckets):
+        asked, back = np.unique(queries[:, j], return_inverse=True)
+        which, code = bucket.at(asked, radius)
+        # From asked values to the queries that have them.
+        order = np.argsort(back, kind="stable")
+        count = np.bincount(back, minlength=len(asked))
+        first = np.cumsum(count) - count
+        for low in range(0, len(which), 1 << 20):
+            w, c = which[low : low + (1 << 20)], code[low : low + (1 << 20)]
+            n = count[w]
+            q = order[np.repeat(first[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            c = np.repeat(c, n)
+            apart = np.bitwise_count(queries[q] ^ codes[c])
+            d = apart.sum(axis=1, dtype=np.int32)
+            fresh = (d <= bounds[q]) & (apart[:, :j] > radius).all(axis=1) & (apart[:, j:] >= radius).all(axis=1)
+            found.append((q[fresh], c[fresh], d[fresh]))
+    q, c, d = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((c, d, q))
+    q, c, d = q[order], c[order], d[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+    return q[rank < k], c[rank < k], d[rank < k]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -71,39 +146,50 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     component is as one that is not over zero.
     """
     spark = vectors.sparkSession
+    prepare(spark)
     scratch = Scratch(spark, "topk")
     width = [df.agg(F.max(F.size(F.col(vector_col)))).first()[0] or 1 for df in (vectors, queries)]
     words = max(1, -(-max(width) // BITS))
-    segments, kind = SEGMENTS * words, "long" if words == 1 else "array<long>"
-    coded = scratch.keep(vectors.select(F.col(id_col).alias("vec_id"), sign_code(F.col(vector_col), words).alias("code")).where("code is not null"))
+    segments, tasks = SEGMENTS * words, 2 * spark.sparkContext.defaultParallelism
     asked = scratch.keep(queries.select(F.col(id_col).alias("query_id"), sign_code(F.col(vector_col), words).alias("q")).where("q is not null"))
     by_code = Window.partitionBy("code").orderBy("vec_id")
-    members = scratch.keep(coded.withColumn("i", F.row_number().over(by_code)).where(F.col("i") <= k).drop("i"))
-    nodes = members.groupBy("code").agg(F.count("*").alias("n"))
-    index = scratch.keep(nodes.select("code", "n", F.posexplode(F.array(*[segment(F.col("code"), j, words) for j in range(segments)])).alias("seg", "val")))
-    total = coded.limit(k).count()
+    members = vectors.select(F.col(id_col).alias("vec_id"), sign_code(F.col(vector_col), words).alias("code")).where("code is not null")
+    members = members.withColumn("i", F.row_number().over(by_code)).where(F.col("i") <= k).drop("i")
+    chunks = scratch.keep(packed(members, CHUNK, "vec_id"))
+    kind = vectors.schema[id_col].dataType.simpleString()
     active = scratch.keep(asked.select("q").distinct().withColumn("bound", F.lit(BITS * words)))
-    found = spark.createDataFrame([], f"q {kind}, code {kind}, n long, d int")
+    found = spark.createDataFrame([], f"q array<bigint>, vec_id {kind}, d int")
+
+    def meet(radius: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, held = None, None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    raw, ids, asks, bounds = (batch.column(c)[i] for c in range(4))
+                    if (told := raw.as_py()) != last:
+                        last, codes = told, np.frombuffer(told, "<u2").reshape(-1, segments)
+                        held = codes, [Buckets(codes[:, j]) for j in range(segments)]
+                    blocks = np.frombuffer(asks.as_buffer(), "<u2").reshape(-1, segments)
+                    q, c, d = nearest(blocks, bounds.values.to_numpy(), *held, radius, k)
+                    longs = np.ascontiguousarray(blocks[q]).view("<i8").reshape(-1)
+                    ends = np.arange(len(q) + 1, dtype=np.int32) * words
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(longs, pa.int64())), ids.values.take(pa.array(c)), pa.array(d, pa.int32())], ["q", "vec_id", "d"])
+
+        return run
+
     for radius in range(WIDTH + 1):
-        if not total or not active.head(1):
+        blocks = scratch.keep(packed(active.select(F.col("q").alias("code"), "bound"), BLOCK, "bound"))
+        if not blocks.head(1):
             break
-        picked = F.array(*[F.lit(m) for m in masks(radius)])
-        probes = active.select("q", "bound", F.explode(picked).alias("mask")).select("q", "bound", F.posexplode(F.array(*[segment(F.col("q"), j, words).bitwiseXOR(F.col("mask")) for j in range(segments)])).alias("seg", "val"))
-        q, code = F.col("q"), F.col("code")
-        fresh = F.lit(False)
-        for j in range(segments):
-            fresh = fresh | ((probes["seg"] == j) & first_found(q, code, j, radius, words))
-        met = probes.join(index, (probes["seg"] == index["seg"]) & (probes["val"] == index["val"]) & (distance(q, code, words) <= F.col("bound")) & fresh)
-        both = scratch.keep(found.unionByName(met.select("q", "code", "n", distance(q, code, words).cast("int").alias("d"))))
-        # A query's bound: the smallest distance within which it has k rows.
-        upto = Window.partitionBy("q").orderBy("d")
-        reached = both.groupBy("q", "d").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(upto)).where(F.col("all") >= total).groupBy("q").agg(F.min("d").alias("kth"))
-        left = scratch.keep(active.join(reached, "q", "left").select("q", F.least("bound", F.coalesce("kth", F.lit(BITS * words))).alias("bound"), (F.coalesce("kth", F.lit(BITS * words + 1)) <= segments * radius + segments - 1).alias("done")))
-        bounds = left.select("q", "bound")
-        kept = both.join(bounds, "q", "left").where("bound is null or d <= bound").drop("bound")
-        found, active = scratch.keep(kept), scratch.keep(left.where("not done").select("q", "bound"))
-    ranked = Window.partitionBy("q").orderBy("d", "vec_id")
-    best = found.select("q", "code", "d").join(members, "code").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+        both = chunks.repartition(tasks).crossJoin(blocks.select(F.col("codes").alias("asks"), "bounds"))
+        met = both.mapInArrow(meet(radius), f"q array<bigint>, vec_id {kind}, d int")
+        ranked = Window.partitionBy("q").orderBy("d", "vec_id")
+        found = scratch.keep(found.unionByName(met).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).drop("rank"))
+        # A query's bound: the distance of its k-th row so far.
+        reached = found.groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("kth")).where(F.col("n") >= k)
+        left = active.drop("bound").join(reached, "q", "left").where(F.col("kth").isNull() | (F.col("kth") > segments * radius + segments - 1))
+        active = scratch.keep(left.select("q", F.coalesce("kth", F.lit(BITS * words)).alias("bound")))
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id")))
     return asked.join(best, "q").select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.col("d").cast("bigint").alias("distance"))
 
 

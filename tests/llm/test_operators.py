@@ -332,10 +332,13 @@ def test_topk_odd(spark):
 def test_topk_wide(spark, width):
     r = random.Random(width)
     rows = [(k, [1.0] * 64 + [r.choice([-1.0, 1.0]) for _ in range(width - 64)]) for k in range(40)]
-    vec = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vec = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, code string, q long")
+    asked = vec.where("vec_id % 20 = 0")
     got = {}
-    for x in topk.search(vec, vec.where("vec_id % 20 = 0"), k=5).collect():
+    for x in topk.search(vec, asked, k=5).collect():
         got.setdefault(x["query_id"], []).append((x["distance"], x["vec_id"]))
+    again = topk.search(vec.unionByName(vec.where("vec_id = 0")), asked.unionByName(asked), k=5).where("query_id = 0").collect()
+    assert len(again) == 10 and sorted((r["rank"], r["distance"], r["vec_id"]) for r in again)[:4] == [(1, 0, 0)] * 2 + [(2, 0, 0)] * 2
     assert {q: sorted(v) for q, v in got.items()} == {q: sorted((sum(a != b for a, b in zip(rows[q][1], v, strict=True)), k) for k, v in rows)[:5] for q in (0, 20)}
 
 
