@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from pagewright.llm.common import Scratch, prepare, share, ship
+from pagewright.llm.common import Lazy, Scratch, prepare, share, ship
 
 ship(__name__)
 
@@ -238,18 +238,6 @@ def build_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int
     return words, starts - starts[0], flat
 
 
-class Lazy(dict):
-    """A dict that makes a missing value from its key, once."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        got = self[key] = self.make(key)
-        return got
-
-
 def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
     """The piece of each rank."""
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)

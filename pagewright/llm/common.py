@@ -27,6 +27,18 @@ def ship(name: str) -> None:
 ship(__name__)
 
 
+class Lazy(dict):
+    """A dict that makes a missing value from its key, once."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        got = self[key] = self.make(key)
+        return got
+
+
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches (``BATCH_ROWS``) and plan descriptions of this session, unless they are smaller already."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.maxPlanStringLength", PLAN_CHARS)):
@@ -104,6 +116,22 @@ def sweep(but: Scratch | None = None) -> None:
             scratch.drop()
 
 
+#: Keys that ``hot_join`` takes for hot, at most.
+HOT = 1000
+
+
+def hot_join(big: DataFrame, small: DataFrame, on: list[str], n: str) -> DataFrame:
+    """Inner join of ``big`` with ``small``, one row a key, whose column ``n`` says how many rows of ``big`` a key has.
+
+    Keys with over a thousandth of all rows, fewer than ``HOT``, are joined by broadcast, so that no task gets all of their
+    rows; the others by shuffle. Keys are not null.
+    """
+    total = small.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(small.where(F.col(n) > total / HOT))
+    rest = big.join(hot.select(*on), on, "left_anti").join(small.where(F.col(n) <= total / HOT), on)
+    return big.join(hot, on).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

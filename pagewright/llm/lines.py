@@ -1,4 +1,4 @@
-"""Line dedup: exact repeats, and lines within ``edits`` edits of an earlier line.
+"""Line dedup: exact repeats, and lines within ``edits`` edits of an earlier line, whatever their length.
 
 With a bound of one edit, partners are found by a deletion-neighbourhood join.
 
@@ -10,7 +10,10 @@ and then is the other (an insertion). So each line emits the hash of every varia
 * keyed by variant alone, to meet the whole lines that are equal to it.
 
 Only the earliest line of a key matters, so keys are aggregated and no pairs are listed. The earliest partner found is
-verified by edit distance. A line goes if it has one, whether or not that partner itself goes.
+verified by edit distance.
+
+Cluster rule: lines that are linked by near pairs are a cluster, and of a cluster those lines stay that have no earlier
+near line; its earliest line so always stays. A line goes if it has an earlier near line, whether or not that one goes.
 
 A line of n characters has n variants, so they are emitted only for lines that can have a partner: two lines within one
 edit share their first or their last half, and all but one of eight parts; grouped counts tell which halves, and then
@@ -19,8 +22,9 @@ which such remainders, more than one line has.
 With a larger bound k, variants would grow with the length to the power k. Two lines within k edits share one of k + 1
 parts, and all but k of ``parts`` parts, each moved by as many characters as the edits before it add or remove. Lines
 that share such a remainder are candidates, verified by edit distance: first each line against the earliest line of its
-remainders, then only the lines left over against all earlier ones. Nothing is capped; a group of lines that share a
-remainder but are not near its earliest line costs the square of its size.
+remainders, then only the lines left over against the earlier ones, in groups of at most ``GROUP`` lines. In larger groups
+the touched parts, where alone the lines differ, are cut into parts in turn, so that groups shrink with each of ``DEPTH``
+levels; what is left there differs in a few characters.
 """
 
 from __future__ import annotations
@@ -34,16 +38,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import Scratch, prepare, ship
+from pagewright.llm.common import Scratch, hot_join, prepare, ship
 
 ship(__name__)
 
-#: Characters from which a line is compared by edits; shorter ones only go as exact repeats.
-NEAR_CHARS = 24
 #: Edits within which a line counts as a repeat of an earlier one.
 EDITS = 1
 #: Parts of a line, of which two lines within a larger bound share all but as many as there are edits.
 PARTS = 8
+#: Lines of a group that are compared with each other, levels of parts, and parts from the second level on.
+GROUP, DEPTH, FEW_PARTS = 64, 4, 4
 #: Multiplier of the variant hash, odd so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 
@@ -107,30 +111,45 @@ def prefix_sums(line: str) -> np.ndarray:
         return np.concatenate(([np.uint64(0)], np.cumsum(codes * powers[:-1], dtype=np.uint64)))
 
 
-def all_but_parts(line: str, edits: int, parts: int) -> np.ndarray:
-    """Keys of which two lines within ``edits`` edits share one: the line without ``edits`` of its parts."""
+def parts_keys(line: str, edits: int, parts: int, scope: int = 0) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Keys of which two lines within ``edits`` edits share one: the line without ``edits`` of its parts.
+
+    With them, for each touched part where it starts and ends. ``scope`` is part of every key.
+    """
     sums = prefix_sums(line)
-    n, out = len(sums) - 1, []
+    n, out, spans = len(sums) - 1, [], []
     touched = np.array(list(combinations(range(parts), edits)))
     odd = np.uint64(0x9FB21C651E98DF25)
     with np.errstate(over="ignore"):
-        names = (touched @ (parts ** np.arange(edits))).astype(np.uint64)
+        names = (touched @ (parts ** np.arange(edits))).astype(np.uint64) + np.uint64(scope % (1 << 64))
         for s in shifts(edits):
             size = n - s[-1]
             if size < 0:
                 continue
             edges = np.arange(parts + 1) * size // parts
-            starts = np.hstack([np.zeros((len(touched), 1), int), edges[touched + 1]])
-            ends = np.hstack([edges[touched], np.full((len(touched), 1), size)])
-            key, fits = (names * odd + np.uint64(size)) * odd, np.ones(len(touched), bool)
-            for i, by in enumerate((0, *s)):
-                low, high = starts[:, i] + by, ends[:, i] + by
-                there = (low >= 0) & (high <= n)
-                fits &= there | (low == high)
-                piece = sums[np.clip(high, 0, n)] - sums[np.clip(low, 0, n)]
+            moved = np.array((0, *s))
+            starts = np.hstack([np.zeros((len(touched), 1), int), edges[touched + 1]]) + moved
+            ends = np.hstack([edges[touched], np.full((len(touched), 1), size)]) + moved
+            fits = (((starts >= 0) & (ends <= n)) | (starts == ends)).all(axis=1)
+            key = (names * odd + np.uint64(size)) * odd
+            for i, by in enumerate(moved.tolist()):
+                piece = sums[np.clip(ends[:, i], 0, n)] - sums[np.clip(starts[:, i], 0, n)]
                 key = key + piece * np.uint64(pow(BASE, -by, 1 << 64))
             out.append(key[fits])
-    return np.unique(np.concatenate(out)).view(np.int64)
+            spans.append((ends[fits, :-1], starts[fits, 1:]))
+    return np.concatenate(out).view(np.int64), spans
+
+
+def touched_parts(line: str, edits: int, parts: int, scope: int) -> dict[int, list[str]]:
+    """By key, what stands in the touched parts, joined by a mark that no text has."""
+    keys, spans = parts_keys(line, edits, parts, scope)
+    lows, highs = (np.concatenate([x[k] for x in spans]).tolist() for k in range(2))
+    out: dict[int, list[str]] = {}
+    for key, low, high in zip(keys.tolist(), lows, highs, strict=True):
+        rest = "\udc00".join(line[max(a, 0) : max(b, 0)] for a, b in zip(low, high, strict=True))
+        if rest not in out.setdefault(key, []):
+            out[key].append(rest)
+    return out
 
 
 def variant_hashes(line: str) -> tuple[int, np.ndarray]:
@@ -176,52 +195,84 @@ def variants(active: DataFrame) -> DataFrame:
     return active.select("doc_id", "pos", "line").mapInArrow(run, f"role byte, key long, doc_id {kind}, pos int")
 
 
-def remainders(active: DataFrame, edits: int, parts: int) -> DataFrame:
-    """(h1, h2, key): the keys ``all_but_parts`` of every line."""
+def remainders(rows: DataFrame, edits: int, parts: int) -> DataFrame:
+    """(h1, h2, key): the keys of every row (h1, h2, scope, rest), where ``rest`` is UTF-8 with lone surrogates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keys = [all_but_parts(line, edits, parts) for line in batch.column(2).to_pylist()]
+            keys = [np.unique(parts_keys(rest.decode("utf-8", "surrogatepass"), edits, parts, scope)[0]) for scope, rest in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             if keys:
                 row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(h1[row]), pa.array(h2[row]), pa.array(np.concatenate(keys))], ["h1", "h2", "key"])
 
-    return active.select("h1", "h2", "line").mapInArrow(run, "h1 long, h2 int, key long")
+    return rows.select("h1", "h2", "scope", "rest").mapInArrow(run, "h1 long, h2 int, key long")
+
+
+def narrowed(rows: DataFrame, edits: int, parts: int) -> DataFrame:
+    """(h1, h2, scope, rest) of the next level for rows (h1, h2, scope, rest, wanted array of keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h1, h2, scope, rest, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                made = touched_parts(rest.decode("utf-8", "surrogatepass"), edits, parts, scope)
+                out = [(key, r.encode("utf-8", "surrogatepass")) for key in wanted for r in made.get(key, ())]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([h1] * len(out), pa.int64()), pa.array([h2] * len(out), pa.int32()), pa.array([k for k, _ in out], pa.int64()), pa.array([r for _, r in out], pa.binary())], ["h1", "h2", "scope", "rest"])
+
+    return rows.select("h1", "h2", "scope", "rest", "wanted").mapInArrow(run, "h1 long, h2 int, scope long, rest binary")
 
 
-def near_by_parts(active: DataFrame, scratch: Scratch, edits: int, parts: int) -> DataFrame:
+def near_by_parts(active: DataFrame, scratch: Scratch, edits: int, parts: int, per: int) -> DataFrame:
     """(h1, h2) of the lines of ``active`` (doc_id, pos, line, h1, h2) that are within ``edits`` edits of an earlier one."""
-    keyed = scratch.keep(remainders(active, edits, parts))
-    keyed = keyed.join(shared_keys(keyed), "key", "left_semi")
     place = active.select("h1", "h2", F.struct("doc_id", "pos").alias("at"))
-    keyed = scratch.keep(keyed.join(place, ["h1", "h2"]))
     ours = active.select("h1", "h2", F.col("line").alias("mine"))
     theirs = active.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("theirs"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         joined = pairs.distinct().join(ours, ["h1", "h2"]).join(theirs, ["g1", "g2"])
-        return joined.where(F.levenshtein("mine", "theirs", edits) >= 0).select("h1", "h2").distinct()
-
-    other = keyed.select("key", F.col("at").alias("to"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    earliest = other.groupBy("key").agg(F.min(F.struct("to", "g1", "g2")).alias("least")).select("key", "least.*")
-    pairs = keyed.join(earliest, "key").where("to < at").select("h1", "h2", "g1", "g2")
-    near = scratch.keep(verified(pairs))
-    left = keyed.join(near, ["h1", "h2"], "left_anti")
-    pairs = left.join(other, "key").where("to < at").select("h1", "h2", "g1", "g2")
-    return near.unionByName(scratch.keep(verified(pairs)))
-
-
-def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch, near_chars: int, edits: int, id_col: str, text_col: str) -> DataFrame:
+        return joined.where(within(F.col("mine"), F.col("theirs"), edits, per)).select("h1", "h2").distinct()
+
+    rows = active.select("h1", "h2", F.lit(0).cast("bigint").alias("scope"), F.col("line").cast("binary").alias("rest"))
+    near = scratch.keep(active.select("h1", "h2").limit(0))
+    for depth in range(DEPTH):
+        cut = parts if depth == 0 else max(FEW_PARTS, edits + 2)
+        keyed = scratch.keep(remainders(rows, edits, cut).distinct())
+        keyed = scratch.keep(keyed.join(shared_keys(keyed), "key", "left_semi").join(place, ["h1", "h2"]))
+        groups = keyed.groupBy("key").agg(F.min(F.struct("at", F.col("h1").alias("g1"), F.col("h2").alias("g2"))).alias("least"), F.count("*").alias("n"))
+        groups = scratch.keep(groups.select("key", F.col("least.at").alias("to"), "least.g1", "least.g2", "n"))
+        with_first = hot_join(keyed, groups, ["key"], "n")
+        near = scratch.keep(near.unionByName(verified(with_first.where("to < at").select("h1", "h2", "g1", "g2"))).distinct())
+        # What is left: lines that are not the earliest of a group and not near it.
+        left = scratch.keep(with_first.where("to < at").join(near, ["h1", "h2"], "left_anti").select("key", "h1", "h2", "at", "n"))
+        most = F.lit(GROUP) if depth < DEPTH - 1 else F.col("n")
+        other = keyed.join(left.where(F.col("n") <= most).select("key").distinct(), "key", "left_semi").select("key", F.col("at").alias("to"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+        pairs = left.where(F.col("n") <= most).join(other, "key").where("to < at").select("h1", "h2", "g1", "g2")
+        near = scratch.keep(near.unionByName(verified(pairs)).distinct())
+        large = left.where(F.col("n") > most).join(near, ["h1", "h2"], "left_anti").select("key").distinct()
+        wanted = keyed.join(large, "key", "left_semi").groupBy("h1", "h2").agg(F.collect_set("key").alias("wanted"))
+        rows = scratch.keep(narrowed(rows.join(wanted, ["h1", "h2"]), edits, cut).distinct())
+        if not rows.head(1):
+            break
+    return near
+
+
+def within(a: Column, b: Column, edits: int, per: int) -> Column:
+    """True if two lines are within ``edits`` edits, and within one for every ``per`` characters of the longer."""
+    apart = F.levenshtein(a, b, edits)
+    return (apart >= 0) & (apart * per <= F.greatest(F.length(a), F.length(b)))
+
+
+def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch, edits: int, per: int, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2) of the lines that are within ``edits`` edits of an earlier line.
 
-    ``firsts``: (h1, h2, first struct<doc_id,pos>, keys) of each distinct line that is long enough; keys for a bound of one edit only.
+    ``firsts``: (h1, h2, first struct<doc_id,pos>, keys) of each distinct line; keys for a bound of one edit only.
     """
     if edits == 1:
         keyed = firsts.select("h1", "h2", F.explode("keys").alias("key"))
         active = keyed.join(shared_keys(keyed), "key", "left_semi").select("h1", "h2").distinct().join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
     else:  # many keys a line: they are made anew from the texts and shuffled once, never written
-        long = places(docs, id_col, text_col).where(F.length("line") >= near_chars)
+        long = places(docs, id_col, text_col).where(F.length("line") >= per)
         keyed = long.select(F.xxhash64("line").alias("h1"), F.explode(a_part(F.col("line"), edits)).alias("key"))
         shared = keyed.groupBy("key").agg(F.collect_set("h1").alias("of")).where(F.size("of") > 1)
         active = shared.select(F.explode("of").alias("h1")).distinct().join(firsts.select("h1", "h2", "first"), "h1")
@@ -230,7 +281,7 @@ def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch, near_chars:
     lines = lines.join(mine, (F.xxhash64("line") == mine["h1"]) & F.col("doc_id").eqNullSafe(mine["id"]) & (F.col("pos") == mine["at"]))
     active = scratch.keep(lines.select("doc_id", "pos", "line", "h1", "h2").dropDuplicates(["h1", "h2"]))
     if edits > 1:
-        return near_by_parts(active, scratch, edits, max(PARTS, edits + 1))
+        return near_by_parts(active, scratch, edits, max(PARTS, edits + 1), per)
     keyed = active.select("h1", "h2", F.explode(all_but_a_part(F.col("line"))).alias("key"))
     close = keyed.join(shared_keys(keyed), "key", "left_semi").select("h1", "h2").distinct()
     active = scratch.keep(active.join(close, ["h1", "h2"]))
@@ -248,49 +299,54 @@ def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch, near_chars:
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["pos"] == b["pos"])
     joined = best.join(ours, same(best["at"], ours["at"])).select("to", "mine", "h1", "h2")
     joined = joined.join(theirs, same(joined["to"], theirs["to"]))
-    return joined.where(F.levenshtein("mine", "theirs", 1) >= 0).select("h1", "h2")
+    return joined.where(within(F.col("mine"), F.col("theirs"), 1, per)).select("h1", "h2")
 
 
-def find_repeats(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, per: int = 1) -> DataFrame:
     """(doc_id, exact, near): the line numbers of each document that go, as exact repeats and within ``edits`` edits."""
-    if edits < 1:
-        raise ValueError("edits: at least one")
+    if edits < 1 or per < 1:
+        raise ValueError("edits and per: at least one")
     prepare(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
     line = F.col("line")
-    marks = scratch.keep(places(docs, id_col, text_col).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.when(F.length("line") >= near_chars, halves(line) if edits == 1 else F.array().cast("array<bigint>")).alias("keys")))
+    marks = scratch.keep(places(docs, id_col, text_col).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), (halves(line) if edits == 1 else F.array().cast("array<bigint>")).alias("keys")))
     firsts = scratch.keep(marks.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys")))
-    near = near_lines(firsts.where("keys is not null"), docs, scratch, near_chars, edits, id_col, text_col)
-    gone = scratch.keep(firsts.select("h1", "h2", "first", "n").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    held = marks.select("doc_id", "pos", "h1", "h2").join(gone, ["h1", "h2"])
+    near = near_lines(firsts, docs, scratch, edits, per, id_col, text_col)
+    gone = scratch.keep(firsts.select("h1", "h2", "first", "n").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", "n", F.coalesce("near", F.lit(False)).alias("near")))
+    held = hot_join(marks.select("doc_id", "pos", "h1", "h2"), gone, ["h1", "h2"], "n")
     again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")))
     held = held.where(again | F.col("near")).select("doc_id", "pos", again.alias("again"))
     return held.groupBy("doc_id").agg(F.collect_set(F.when(F.col("again"), F.col("pos"))).alias("exact"), F.collect_set(F.when(~F.col("again"), F.col("pos"))).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, per: int = 1) -> DataFrame:
     """``docs`` with ``line_stats struct<n_lines,n_exact,n_near>`` added and the text without the lines that repeat.
 
     Lines are what newlines divide; blank lines stay and are not counted. Of equal lines the earliest place stays (smallest
-    document id, null first, then line number); of lines of ``near_chars`` characters or more, those within ``edits`` edits
-    of an earlier one go too. Rows that share an id count as one document: a line at the same place of several of them is one
-    occurrence. Null texts stay null, with no lines; a document may be left with an empty text; other columns stay as
-    they are; an empty table gives an empty one.
+    document id, null first, then line number); lines within ``edits`` edits of an earlier one go too (for the cluster rule
+    see the module), if these are no more than one for every ``per`` characters of the longer line. Rows that share an id
+    count as one document: a line at the same place of several of them is one occurrence. Null texts stay null, with no
+    lines; a document may be left with an empty text; other columns stay as they are, but for an earlier ``line_stats``,
+    which is replaced; an empty table gives an empty one.
     """
-    gone = find_repeats(docs, near_chars, id_col, text_col, edits).select(F.col("doc_id").alias("_id"), F.col("exact").alias("_exact"), F.col("near").alias("_near"))
-    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
+    names = [c for c in docs.columns if c != "line_stats"]
+    gone = find_repeats(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), edits=edits, per=per)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    joined = whole.join(gone, F.col(f"row.`{id_col}`").eqNullSafe(F.col("doc_id")), "left")
     none = F.array().cast("array<int>")
-    t = F.col(f"`{text_col}`")
+    t = F.col(f"row.`{text_col}`")
     rows = F.transform(F.split(t, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    drop = F.concat(F.coalesce("_exact", none), F.coalesce("_near", none))
+    drop = F.concat(F.coalesce("exact", none), F.coalesce("near", none))
     # Rows that share an id may differ: places beyond a text, or of its blank lines, are none of its own.
     live = F.filter(rows, lambda r: r["x"].rlike(r"\S"))
     count = lambda c: F.size(F.filter(live, lambda r: F.array_contains(F.coalesce(c, none), r["i"])))
-    stats = F.struct(F.coalesce(F.size(live), F.lit(0)).alias("n_lines"), F.coalesce(count(F.col("_exact")), F.lit(0)).alias("n_exact"), F.coalesce(count(F.col("_near")), F.lit(0)).alias("n_near"))
+    stats = F.struct(F.coalesce(F.size(live), F.lit(0)).alias("n_lines"), F.coalesce(count(F.col("exact")), F.lit(0)).alias("n_exact"), F.coalesce(count(F.col("near")), F.lit(0)).alias("n_near"))
     kept = F.array_join(F.transform(F.filter(rows, lambda r: ~(F.array_contains(drop, r["i"]) & r["x"].rlike(r"\S"))), lambda r: r["x"]), "\n")
     text = F.when(F.size(drop) > 0, kept).otherwise(t)
-    out = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out, F.when(t.isNull(), F.struct(F.lit(0).alias("n_lines"), F.lit(0).alias("n_exact"), F.lit(0).alias("n_near"))).otherwise(stats).alias("line_stats"))
+    stats = F.when(t.isNull(), F.struct(F.lit(0).alias("n_lines"), F.lit(0).alias("n_exact"), F.lit(0).alias("n_near"))).otherwise(stats)
+    # Named last: a column's name must not be taken for one of the above.
+    out = [*[text if c == text_col else F.col(f"row.`{c}`") for c in names], stats]
+    return joined.select(*[c.alias(f"out {k}") for k, c in enumerate(out)]).toDF(*names, "line_stats")
 
 
 def digests(deduped: DataFrame) -> DataFrame:
@@ -305,9 +361,9 @@ spots as (select doc_id, unnest(range(0, len(parts))) as pos, unnest(parts) as l
 lines as (select doc_id, pos, line from spots where regexp_matches(line, '\S')),
 firsts as (select line, count(*) as n, min({'d': doc_id, 'p': pos}) as f, length(line) as len from lines group by line),
 halves as (
-  select line, f, len, size, 'first' as kind, line[1:size // 2] as half from firsts, (select unnest([0, 1]) as less), lateral (select len - less as size) where len >= 24
+  select line, f, len, size, 'first' as kind, line[1:size // 2] as half from firsts, (select unnest([0, 1]) as less), lateral (select len - less as size)
   union all
-  select line, f, len, size, 'last', line[len - (size - size // 2) + 1:] from firsts, (select unnest([0, 1]) as less), lateral (select len - less as size) where len >= 24),
+  select line, f, len, size, 'last', line[len - (size - size // 2) + 1:] from firsts, (select unnest([0, 1]) as less), lateral (select len - less as size)),
 pairs as (
   select distinct a.line as a, b.line as b, a.len as la, b.len as lb from halves a join halves b
   on a.kind = b.kind and a.size = b.size and a.half = b.half and a.f > b.f and abs(a.len - b.len) <= 1),

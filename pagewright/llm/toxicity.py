@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import held_out, prepare, sampled, share, ship
+from pagewright.llm.common import Lazy, held_out, prepare, sampled, share, ship
 
 ship(__name__)
 
@@ -142,11 +142,18 @@ class Model:
 
 def cell_weights(pair: Pair, texts: list[tuple[Counter, int]]) -> dict[tuple[int, int, int], float]:
     """Log odds of the cells in which the toxic dictionary saves bytes, by how many documents of each label have them."""
-    known: dict[str, tuple[int, int, int]] = {}
-    cell, hits, n = pair.cells(), (Counter(), Counter()), Counter(y for _, y in texts)
-    for windows, y in texts:
-        hits[y].update({known[w] if w in known else known.setdefault(w, cell(w)) for w in windows})
-    odds = {c: math.log((k + 0.5) / (n[1] + 1)) - math.log((hits[0][c] + 0.5) / (n[0] + 1)) for c, k in hits[1].items() if c[0] > 0 and k >= SEEN}
+    cell, n = pair.cells(), Counter(y for _, y in texts)
+
+    def count(label: int, wanted: set | None) -> Counter:
+        known, hits = Lazy(lambda w: cell(w, wanted)), Counter()
+        for windows, y in texts:
+            if y == label:
+                hits.update({known[w] for w in windows})
+        return hits
+
+    toxic = {c: k for c, k in count(1, None).items() if c[0] > 0 and k >= SEEN}
+    ordinary = count(0, {c[1:] for c in toxic})
+    odds = {c: math.log((k + 0.5) / (n[1] + 1)) - math.log((ordinary[c] + 0.5) / (n[0] + 1)) for c, k in toxic.items()}
     return {c: w for c, w in odds.items() if w > ODDS}
 
 

@@ -87,7 +87,7 @@ def test_lines_brute_force(spark):
             if not line.strip():
                 out.append(line)
             elif line not in seen:
-                near = len(line) >= 24 and any(len(x) >= 24 and within_one(x, line) for x in seen)
+                near = any(within_one(x, line) for x in seen)
                 seen[line] = True
                 if not near:
                     out.append(line)
@@ -96,8 +96,10 @@ def test_lines_brute_force(spark):
     assert {x["doc_id"]: x["text"] for x in got.collect()} == want
 
 
-@pytest.mark.parametrize("edits", [2, 3])
-def test_lines_more_edits(spark, edits):
+@pytest.mark.parametrize("edits, per, group", [(2, 1, 64), (2, 4, 3), (3, 2, 64)])
+def test_lines_more_edits(spark, edits, per, group, monkeypatch):
+    monkeypatch.setattr(lines, "GROUP", group)
+
     def apart(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -107,8 +109,8 @@ def test_lines_more_edits(spark, edits):
         return row[-1]
 
     r = random.Random(edits)
-    rows, base = [], ["".join(r.choice("abé ") for _ in range(n)) + "end" for n in (24, 31, 60)]
-    for k in range(120):
+    rows, base = [], ["".join(r.choice("abé ") for _ in range(n)) + "end" for n in (3, 9, 31, 60)]
+    for k in range(160):
         line = r.choice(base)
         for _ in range(r.randint(0, edits + 2)):
             at = r.randrange(len(line))
@@ -117,14 +119,16 @@ def test_lines_more_edits(spark, edits):
     want = {}
     for k, line in rows:
         earlier = {x for _, x in rows[:k]}
-        want[k] = "" if line in earlier or len(line) >= 24 and any(len(x) >= 24 and apart(x, line) <= edits for x in earlier) else line
-    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), edits=edits)
+        want[k] = "" if line in earlier or any(apart(x, line) <= min(edits, max(len(x), len(line)) // per) for x in earlier) else line
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), edits=edits, per=per)
     assert {x["doc_id"]: x["text"] for x in got.collect()} == want and len({x for x in want.values() if x}) > 3
 
 
 def test_lines_odd(odd):
     got = lines.dedup_lines(odd)
     assert got.columns == [*odd.columns, "line_stats"] and got.count() == odd.count()
+    clash = odd.withColumns({c: F.lit(1) for c in ("_id", "_exact", "exact", "near", "line_stats", "pos", "h1")})
+    assert lines.dedup_lines(clash).count() == odd.count() and sorted(lines.dedup_lines(clash).columns) == sorted(clash.columns)
     by = {r["doc_id"]: r for r in got.where("doc_id is not null").collect()}
     assert by[0]["text"] is None and by[1]["text"] == "" and by[5]["text"] == "" and by[4]["text"] == ODD_TEXTS[4] and by[7]["text"] == ODD_TEXTS[7]
     assert lines.dedup_lines(odd.limit(0)).count() == 0
@@ -392,7 +396,7 @@ def test_language(spark, odd):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = langid.identify(docs).join(docs, "doc_id").where("held_out").collect()
     assert len(rows) > 150 and sum(r["lang_pred"] == r["lang"] for r in rows) / len(rows) > 0.98
-    assert all(0 <= r["score"] <= 1 for r in rows)
+    assert all(0 <= r["score"] <= 1 for r in rows) and sum(r["accepted"] for r in rows) / len(rows) > 0.99
     got = langid.identify(odd, train_on=docs)
     assert got.count() == odd.count()
     by = {r["doc_id"]: r["lang_pred"] for r in got.collect()}
@@ -401,9 +405,47 @@ def test_language(spark, odd):
 
 
 def test_every_language_is_learned(spark):
-    rows = [(10 * k + j, f"text {k}", f"l{k:03}") for k in range(230) for j in range(3)]
-    known = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 1, id_col="doc_id", text_col="text", lang_col="lang")
-    assert known.count() > 220 and known.select("lang").distinct().count() == known.count()
+    rows = [(10 * k + j, f"text {k}", f"l{k:03}") for k in range(230) for j in range(3)] + [(1, "again", "l000")] * 40
+    known = langid.gram_rows(langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 1), 1)
+    assert len(known) > 220 and len({lang for _, lang in known}) == len(known)
+    many = spark.createDataFrame([(k, "t", f"l{k}") for k in range(2000)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.training_rows(many, 1)
+
+
+def test_predictions_by_brute_force():
+    """Kernel ridge regression on Nystroem features, text by text, without the matrix of n-grams."""
+    import numpy as np
+
+    r = random.Random(8)
+    syllables = {"a": ["ka", "to", "mi"], "b": ["sch", "ein", "ung"], "c": ["que", "ll", "os"]}
+    text = lambda lang, n: " ".join("".join(r.choice(syllables[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(text(lang, 12), lang) for _ in range(20) for lang in syllables]
+
+    def presence(t):
+        raw = bytes(48 if 48 <= c <= 57 else c for c in t.lower().encode())
+        return {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+
+    k = lambda s, t: len(presence(s) & presence(t)) / (len(presence(s)) * len(presence(t))) ** 0.5
+    model = langid.fit([(langid.grams(t), lang) for t, lang in rows], landmarks=5)
+    marks = [t for lang in syllables for t in [t for t, x in rows if x == lang][:5]]
+    ll = np.array([[k(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(ll + 1e-8 * np.eye(len(marks)))
+    keep = values > 1e-6 * values.max()
+    feature = lambda t: (vectors[:, keep] / np.sqrt(values[keep])).T @ np.array([k(t, m) for m in marks])
+    x = np.array([feature(t) for t, _ in rows])
+    y = np.array([[1.0 if lang == c else -1.0 for c in syllables] for _, lang in rows])
+    w = np.linalg.solve(x.T @ x + langid.RIDGE * len(x) * np.eye(x.shape[1]), x.T @ y)
+    raw = x @ w
+    gap = np.sort(raw, axis=1)
+    factor = 4 / np.median(gap[:, -1] - gap[:, -2])
+    tests = [text(lang, n) for lang in syllables for n in (2, 9)] + ["ka sch que", "12345 zz"]
+    langs, scores = model.predict(tests)
+    for t, lang, score in zip(tests, langs, scores, strict=True):
+        v = feature(t) @ w
+        soft = np.exp((v - v.max()) * factor)
+        assert lang == sorted(syllables)[int(v.argmax())] and abs(score - (soft / soft.sum()).max()) < 1e-3
+    assert langs[:6] == ["a", "a", "b", "b", "c", "c"] and model.predict(["9 9", None, ""])[0] == ["und"] * 3
 
 
 # 10

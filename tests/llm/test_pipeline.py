@@ -3,7 +3,7 @@
 from conftest import SMALL
 
 import corpus_pipeline
-from pagewright.llm import simhash
+from pagewright.llm import langid, simhash
 from pagewright.llm.common import Scratch, table
 
 
@@ -18,8 +18,9 @@ def test_stages(spark):
         if name != "byte_bpe":
             assert [f.name for f in now.schema] == corpus_pipeline.COLUMNS
         if name == "language_id":
-            kept = {r["doc_id"] for r in before.collect() if r["text"] and any(map(str.isalpha, r["text"]))}
-            assert ids == kept
+            told = {r["doc_id"]: r for r in langid.identify(before).collect()}
+            assert ids == {k for k, r in told.items() if r["accepted"]} and len(ids) > 0.98 * len(told)
+            assert all(r["lang"] == told[r["doc_id"]]["lang_pred"] for r in now.collect())
         if name == "line_dedup":
             assert now.count() == before.count()
         if name == "simhash":
