@@ -1,7 +1,8 @@
 """A corpus pipeline: language ID, line dedup, near-duplicates, benchmark decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the one before kept, and returns a DataFrame; all but
-the last return the columns of ``documents``. Between stages a table is written and read again.
+the last return the columns of ``documents``. Between stages a table is written and read again, so each stage lets go of
+what the one before had broadcast.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import bpe, decontam, langid, lines, simhash
-from pagewright.llm.common import Scratch, table
+from pagewright.llm.common import Scratch, release, sweep, table
 
 #: Edits within which line dedup takes a line for a repeat of an earlier one.
 LINE_EDITS = 2
+#: Characters of a line for each edit: shorter lines have fewer edits to spend, and below this only exact repeats go.
+LINE_CHARS = 4
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -25,24 +28,28 @@ def as_documents(df: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language is found: null texts and texts without a letter. Others stay as they are."""
+    """Keep the documents whose language the classifier accepts, with the predicted language as ``lang``."""
+    release()
     rows = docs.select(F.struct(*COLUMNS).alias("doc_id"), "text")
-    found = langid.identify(rows, train_on=table(spark, sf_dir, "documents"))
-    return found.where(F.col("lang_pred") != langid.UND).select("doc_id.*")
+    found = langid.identify(rows, train_on=table(spark, sf_dir, "documents")).where("accepted")
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"doc_id.{c}").alias(c) for c in COLUMNS])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that repeat or are within two edits of an earlier line; every document stays, with what is left of it."""
-    return as_documents(lines.dedup_lines(docs, edits=LINE_EDITS))
+    """Remove lines that repeat or are within two edits of an earlier line, one for every four characters; every document stays."""
+    release()
+    return as_documents(lines.dedup_lines(docs, edits=LINE_EDITS, per=LINE_CHARS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
+    release()
     return simhash.keep_first(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which benchmark words are 5 % or more, and cut such words from the others."""
+    release()
     return as_documents(decontam.remove(docs, table(spark, sf_dir, "benchmark")))
 
 
@@ -50,6 +57,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode and decode: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     from pagewright.llm.queries import tokenizer
 
+    release()
     return bpe.encode(docs, *tokenizer(), digests=True)
 
 
@@ -72,4 +80,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir))
         scratch.drop(last=1)
+        sweep(but=scratch)
     return STAGES[-1][1](spark, docs, sf_dir)
