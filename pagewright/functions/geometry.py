@@ -37,8 +37,6 @@ class Box:
     def each(self, change) -> Box:
         return Box(*[change(getattr(self, c)) for c in ("x1", "y1", "x2", "y2")])
 
-ZERO = F.lit(0.0) if False else None  # columns need a session, so constants are made when used
-
 def zero() -> Column:
     return F.lit(0.0)
 

@@ -21,7 +21,7 @@ def class_label(name: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space at both ends, of any kind."""
+    """Without white space (ASCII) at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
@@ -36,22 +36,38 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a transform over an array of one element, which no rule folds back."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def json_object(raw: Column) -> Column:
     """The JSON object inside a model's answer: out of a code fence, from the first brace to the last, without commas
     that trail."""
-    s = strip(raw)
-    fence = lambda mark: F.split_part(F.split_part(s, F.lit(mark), F.lit(2)), F.lit("```"), F.lit(1))
-    s = F.when(F.contains(s, F.lit("```json")), fence("```json")).when(F.contains(s, F.lit("```")), fence("```")).otherwise(s)
-    first, last = F.instr(s, "{"), F.length(s) - F.instr(F.reverse(s), "}") + 1
-    inner = F.when((first > 0) & F.contains(s, F.lit("}")) & (last >= first), F.substring(s, first, last - first + 1)).otherwise(s)
-    return F.regexp_replace(inner, r",\s*([\]}])", "$1")
+
+    def unfenced(s: Column) -> Column:
+        fence = lambda mark: F.split_part(F.split_part(s, F.lit(mark), F.lit(2)), F.lit("```"), F.lit(1))
+        return F.when(F.contains(s, F.lit("```json")), fence("```json")).when(F.contains(s, F.lit("```")), fence("```")).otherwise(s)
+
+    def braced(s: Column) -> Column:
+        first, last = F.instr(s, "{"), F.length(s) - F.instr(F.reverse(s), "}") + 1
+        return F.when((first > 0) & F.contains(s, F.lit("}")) & (last >= first), F.substring(s, first, last - first + 1)).otherwise(s)
+
+    return let(strip(raw), lambda s: let(unfenced(s), lambda t: F.regexp_replace(braced(t), r",\s*([\]}])", "$1")))
+
+
+#: Fixed value: what is said of an answer that holds no JSON object.
+NO_JSON = "Failed to parse VLM response as JSON"
 
 
 def parse_answer(raw: Column) -> Column:
     """``struct<success, error, body>`` of a model's answer; a body only if it is a JSON object."""
-    text = json_object(raw)
-    good = F.try_parse_json(text).isNotNull()
-    return F.struct(good.alias("success"), F.when(~good, F.lit("Failed to parse VLM response as JSON")).alias("error"), F.when(good, F.from_json(text, RESPONSE)).alias("body"))
+
+    def told(text: Column) -> Column:
+        good = F.try_parse_json(text).isNotNull()
+        return F.struct(good.alias("success"), F.when(~good, F.lit(NO_JSON)).alias("error"), F.when(good, F.from_json(text, RESPONSE)).alias("body"))
+
+    return let(json_object(raw), told)
 
 
 def short_error(error: Column) -> Column:
@@ -77,7 +93,7 @@ API_ERRORS = {
 
 def friendly_error(kind: Column, message: Column, model: Column) -> Column:
     """An API error in plain words, with at most 200 characters of its message."""
-    clean = F.rtrim(F.split_part(F.split_part(message, F.lit("Give Feedback"), F.lit(1)), F.lit("Get Help"), F.lit(1)))
+    clean = strip(F.split_part(F.split_part(message, F.lit("Give Feedback"), F.lit(1)), F.lit("Get Help"), F.lit(1)))
     known = F.create_map(*[F.lit(x) for pair in API_ERRORS.items() for x in pair])
     said = F.coalesce(F.try_element_at(known, kind), F.lit("API error: {detail}"))
     return F.replace(F.replace(said, F.lit("{detail}"), F.left(clean, F.lit(200))), F.lit("{model}"), model)

@@ -32,30 +32,53 @@ def sizes(images: DataFrame) -> DataFrame:
     return images.withColumns({"width": F.coalesce("width", F.lit(DEFAULT_SIZE[0])), "height": F.coalesce("height", F.lit(DEFAULT_SIZE[1]))})
 
 
-def regions(matched: DataFrame, loose: DataFrame, width: int = DEFAULT_SIZE[0], height: int = DEFAULT_SIZE[1]) -> DataFrame:
-    """Regions of every page in order: each match's item and caption, then unmatched figures, tables and captions.
+def page_regions(pages: DataFrame, width: int = DEFAULT_SIZE[0], height: int = DEFAULT_SIZE[1]) -> DataFrame:
+    """Pages of ``annotation.annotate`` with ``regions`` in order: each match's item and caption, then unmatched figures, tables
+    and captions.
 
-    ``matched``: figure_id, kind, x1 ..., caption_id, cx1 ... by ``ord``; ``loose``: item_id, kind, x1 ... Items without a box
-    give none, and loose items that a match has shown aren't shown again.
+    Items without a box give none, and loose items that a match has shown aren't shown again. A page's own ``width`` and
+    ``height``, where it has such columns, are used instead of those given.
     """
-    item = matched.where("x1 is not null").select(*PAGE, F.lit(0).alias("part"), F.col("ord").cast("bigint").alias("o"), F.lit(0).alias("sub"), F.col("figure_id").alias("item_id"), F.when(F.col("kind") == "table", "Table").otherwise("Figure").alias("label"), *BOX)
-    cap = matched.where("caption_id is not null and cx1 is not null").select(*PAGE, F.lit(0).alias("part"), F.col("ord").cast("bigint").alias("o"), F.lit(1).alias("sub"), F.col("caption_id").alias("item_id"), F.lit("Caption").alias("label"), *[F.col(f"c{c}").alias(c) for c in BOX])
-    shown = item.unionByName(cap)
-    part = F.when(F.col("kind") == "figure", 1).when(F.col("kind") == "table", 2).otherwise(3)
-    rest = loose.where("x1 is not null").join(shown.select(*PAGE, "item_id"), [*PAGE, "item_id"], "left_anti").select(*PAGE, part.alias("part"), F.col("no").cast("bigint").alias("o"), F.lit(0).alias("sub"), "item_id", F.initcap("kind").alias("label"), *BOX)
-    all_ = shown.unionByName(rest).withColumn("region_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("part", "o", "sub")))
-    return all_.select(*PAGE, "item_id", "label", F.concat(F.lit("region_"), "region_no").alias("region_id"), "part", "o", "sub", percent(Box.of(), F.lit(float(width)), F.lit(float(height))).alias("value"))
-
-
-def relations(regions: DataFrame) -> DataFrame:
-    """From each matched item to its caption."""
-    of = lambda sub, name: regions.where(f"part = 0 and sub = {sub}").select(*PAGE, "o", F.col("region_id").alias(name))
-    return of(0, "from_id").join(of(1, "to_id"), [*PAGE, "o"]).select(*PAGE, "from_id", "to_id", F.lit("has_caption").alias("label"))
-
-
-def tasks(regions: DataFrame, relations: DataFrame, url: Column, model: str = "VLM") -> DataFrame:
-    """One nested task for each page that has regions; ``url`` is an expression over doc_id and page_number."""
-    shape = F.struct("region_id", "item_id", "label", "value")
-    rows = regions.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("part", "o", "sub", shape.alias("region")))).alias("r"))
-    links = relations.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("from_id", "to_id", "label"))).alias("relations"))
-    return rows.join(links, PAGE, "left").select(F.struct(url.alias("image"), "doc_id", "page_number").alias("data"), F.struct(F.lit(model).alias("model_version"), F.transform("r", lambda x: x["region"]).alias("regions"), "relations").alias("prediction"))
+    own = {c: F.coalesce(F.col(c), F.lit(v)) if c in pages.columns else F.lit(v) for c, v in (("width", width), ("height", height))}
+    box = lambda x, prefix="": percent(Box(*[x[f"{prefix}{c}"] for c in BOX]), own["width"].cast("double"), own["height"].cast("double"))
+    region = lambda there, part, o, sub, item, label, value: F.when(there, F.struct(part.alias("part"), o.cast("bigint").alias("o"), sub.alias("sub"), item.alias("item_id"), label.alias("label"), value.alias("value")))
+    item = lambda m: region(m["x1"].isNotNull(), F.lit(0), m["ord"], F.lit(0), m["figure_id"], F.when(m["kind"] == "table", "Table").otherwise("Figure"), box(m))
+    cap = lambda m: region(m["caption_id"].isNotNull() & m["cx1"].isNotNull(), F.lit(0), m["ord"], F.lit(1), m["caption_id"], F.lit("Caption"), box(m, "c"))
+    part = lambda u: F.when(u["kind"] == "figure", 1).when(u["kind"] == "table", 2).otherwise(3)
+    rest = lambda u: region(u["x1"].isNotNull(), part(u), u["no"], F.lit(0), u["item_id"], F.initcap(u["kind"]), box(u))
+    some = lambda rows: F.filter(rows, lambda r: r.isNotNull())
+    shown = pages.withColumn("shown", some(F.flatten(F.transform("matches", lambda m: F.array(item(m), cap(m))))))
+    loose = F.filter(some(F.transform("unmatched", rest)), lambda r: ~F.exists("shown", lambda x: x["item_id"] == r["item_id"]))
+    placed = shown.withColumn("regions", F.array_sort(F.concat("shown", loose), lambda a, b: _order(a, b))).drop("shown")
+    return placed.withColumn("regions", F.transform("regions", lambda r, i: F.struct(F.concat(F.lit("region_"), i + 1).alias("region_id"), *[r[c].alias(c) for c in ("item_id", "label", "part", "o", "sub", "value")])))
+
+
+def _order(a: Column, b: Column) -> Column:
+    """By part, then place, then item before caption."""
+    out = F.lit(0)
+    for c in ("sub", "o", "part"):
+        out = F.when(a[c] < b[c], -1).when(a[c] > b[c], 1).otherwise(out)
+    return out
+
+
+def regions(pages: DataFrame) -> DataFrame:
+    """The regions of ``page_regions``, one a row."""
+    return pages.select(*PAGE, F.explode("regions").alias("r")).select(*PAGE, "r.*")
+
+
+def links(regions: Column) -> Column:
+    """From each matched item to its caption, in the regions of one page."""
+    to = lambda r: F.get(F.filter(regions, lambda x: (x["part"] == 0) & (x["sub"] == 1) & (x["o"] == r["o"])), F.lit(0))["region_id"]
+    pairs = F.transform(F.filter(regions, lambda r: (r["part"] == 0) & (r["sub"] == 0)), lambda r: F.struct(r["region_id"].alias("from_id"), to(r).alias("to_id"), F.lit("has_caption").alias("label")))
+    return F.filter(pairs, lambda p: p["to_id"].isNotNull())
+
+
+def relations(pages: DataFrame) -> DataFrame:
+    """The relations of ``page_regions``, one a row."""
+    return pages.select(*PAGE, F.explode(links(F.col("regions"))).alias("l")).select(*PAGE, "l.*")
+
+
+def tasks(pages: DataFrame, url: Column, model: str = "VLM") -> DataFrame:
+    """One nested task for each page of ``page_regions`` that has regions; ``url`` is an expression over doc_id and page_number."""
+    shape = F.transform("regions", lambda r: F.struct(*[r[c].alias(c) for c in ("region_id", "item_id", "label", "value")]))
+    return pages.where(F.size("regions") > 0).select(F.struct(url.alias("image"), "doc_id", "page_number").alias("data"), F.struct(F.lit(model).alias("model_version"), shape.alias("regions"), links(F.col("regions")).alias("relations")).alias("prediction"))

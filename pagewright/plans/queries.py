@@ -328,21 +328,23 @@ def vlm_json_repair(s, d):
     return p.select(*PAGE, "success", "error", F.size(F.coalesce("body.matches", F.array().cast("array<struct<figure_id:int,figure_type:string,caption_id:int,confidence:double,reasoning:string>>"))).cast("bigint").alias("n_matches"), F.coalesce(F.get("body.unmatched_captions", F.lit(0)), F.lit(-1)).cast("bigint").alias("first_unmatched"))
 
 
+def annotated(s: SparkSession, d: str) -> DataFrame:
+    return annotation.annotate(annotation.parse(answers(s, d)), elements(s, d))
+
+
 @query
 def vlm_matches(s, d):
-    found = annotation.matches(annotation.parse(answers(s, d)))
-    return annotation.resolve(found, elements(s, d)).select(*PAGE, "kind", "figure_id", "caption_id", "confidence", "x1", "cx1", "caption_text")
+    return annotation.resolved(annotated(s, d)).select(*PAGE, "kind", "figure_id", "caption_id", "confidence", "x1", "cx1", "caption_text")
 
 
 @query
 def vlm_unmatched(s, d):
-    parsed, el = annotation.parse(answers(s, d)), elements(s, d)
-    return annotation.unmatched(el, annotation.resolve(annotation.matches(parsed), el), parsed).select(*PAGE, "item_id")
+    return annotation.unmatched(annotated(s, d)).select(*PAGE, "item_id")
 
 
 @query
 def annotation_counts(s, d):
-    return annotation.document_counts(annotation.resolve(annotation.matches(annotation.parse(answers(s, d))), elements(s, d)))
+    return annotation.document_counts(annotation.resolved(annotated(s, d)))
 
 
 @query
@@ -362,21 +364,14 @@ def bbox_lookup_priority(s, d):
     return export.box_lookup(extraction.numbered(items), elements(s, d)).select("doc_id", "item_id", "source", "x1")
 
 
-def export_input(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    parsed, el = annotation.parse(answers(s, d)), elements(s, d)
-    found = annotation.resolve(annotation.matches(parsed), el)
-    loose = annotation.unmatched(el, found, parsed).join(el.select(*PAGE, "kind", "no", *BOX), [*PAGE, "kind", "no"], "left")
-    return found, loose
-
-
 @query
 def export_regions(s, d):
-    return export.regions(*export_input(s, d)).select(*PAGE, "region_id", "item_id", "label", F.col("value.x").alias("x"), F.col("value.height").alias("height"))
+    return export.regions(export.page_regions(annotated(s, d))).select(*PAGE, "region_id", "item_id", "label", F.col("value.x").alias("x"), F.col("value.height").alias("height"))
 
 
 @query
 def export_relations(s, d):
-    return export.relations(export.regions(*export_input(s, d)))
+    return export.relations(export.page_regions(annotated(s, d)))
 
 
 @query
