@@ -27,6 +27,12 @@ def ship(name: str) -> None:
 ship(__name__)
 
 
+def forget(told: Broadcast) -> None:
+    """Drop a broadcast that nothing will use again, on the driver too."""
+    _shared.discard(told)
+    told.destroy()
+
+
 class Lazy(dict):
     """A dict that makes a missing value from its key, once."""
 
@@ -89,7 +95,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
-        self.n = 0
+        self.n, self.made = 0, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back."""
@@ -97,7 +103,15 @@ class Scratch:
         self.paths.append(path := f"{self.root}/{self.n}")
         Scratch.left[self.root] = self
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.made[id(back)] = path
+        return back
+
+    def drop_all_but(self, *frames: DataFrame) -> None:
+        """Delete all tables but these, as ``keep`` returned them."""
+        stay = [self.made[id(f)] for f in frames]
+        self.paths = [p for p in self.paths if p not in stay] + stay
+        self.drop(last=len(stay))
 
     def drop(self, last: int = 0) -> None:
         """Delete all tables but the ``last`` ones."""

@@ -3,8 +3,9 @@
 The automaton accepts every run of words of every item. The words of a document are streamed through it, which
 keeps the longest run that ends at each word and is in some item; a run of ``window`` words or more, or one that
 ends with the whole of a shorter item, is a hit. Only the automaton is broadcast. Its size is bounded: items are
-dealt into shards of at most ``SHARD_WORDS`` words, long items as pieces that overlap by a window less one word, and
-with more than one shard the documents are streamed once for each and the hits united.
+dealt into shards of at most ``SHARD_WORDS`` words, long items as pieces that overlap by a window less one word. With more
+than one shard the documents are streamed once for each, one shard at a time: its hits are written and its automaton let
+go before the next is made, so that memory doesn't grow with the benchmark.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import Scratch, lower_ascii, prepare, ship
+from pagewright.llm.common import Scratch, forget, lower_ascii, prepare, share, ship
 
 ship(__name__)
 
@@ -91,10 +93,10 @@ class Automaton:
             for k, w in enumerate(words, 1):
                 at = self.nexts[at][w]
                 if k >= window:
-                    self.items[self._holder(at)] = self.items[self._holder(at)] or set()
-                    self.items[self._holder(at)].add(item)
+                    holder = self._holder(at)
+                    self.items[holder] = (self.items[holder] or set()) | ({item} - {None})
             if 0 < len(words) < window:
-                ends.setdefault(at, set()).add(item)
+                ends[at] = ends.get(at, set()) | ({item} - {None})
         order = sorted(range(len(self.link)), key=self.length.__getitem__)
         self.short, self.need = [None] * len(order), [0] * len(order)
         for v in order:
@@ -149,7 +151,7 @@ def item_pieces(benchmark: DataFrame, window: int, most: int, item_col: str, tex
     folded = F.regexp_replace(lower_ascii(F.col(text_col)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     words = F.filter(F.split(folded, " "), lambda w: w != "")
     parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)), F.lit(max(1, most - window + 1))), lambda i: F.slice("words", i, F.lit(most)))
-    return benchmark.select(F.col(item_col).cast("string").alias("item"), words.alias("words")).where("item is not null and size(words) > 0").select("item", F.explode(parts).alias("words"))
+    return benchmark.select(F.col(item_col).cast("string").alias("item"), words.alias("words")).where("size(words) > 0").select("item", F.explode(parts).alias("words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -157,8 +159,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     ``spans`` are the hit words, as merged [s, e) of word numbers. With ``with_text`` also ``clean_text``: the text without
     these spans (from the first letter of the first word to the last of the last). Null and empty texts have no words;
-    null items and items without words are never found; items that repeat are found alike; columns other than those
-    named are ignored; empty tables give no hits or no rows. A null item id can't be told of and is ignored.
+    items without words are never found; items that repeat are found alike; columns other than those named are
+    ignored; empty tables give no hits or no rows. The words of an item without an id count as hit, but it is not in ``items``.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -168,14 +170,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     if shards == 1:
-        return _scan(docs, pieces, window, with_text, kind)
+        return _scan(docs, pieces, window, with_text, kind)[0]
     # Each shard's hits are united by row; rows are numbered once, in a written table.
     scratch = Scratch(spark, "decontam")
     numbered = scratch.keep(docs.withColumn("row", F.monotonically_increasing_id()))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("item", F.size("words"), F.element_at("words", 1)), F.lit(shards)))
     hits = None
     for k in range(shards):
-        got = _scan(numbered.select(F.col("row").alias("doc_id"), "text"), pieces.where(F.col("shard") == k), window, False, "bigint").where("n_hit > 0").select("doc_id", "items", "spans")
+        found, told = _scan(numbered.select(F.col("row").alias("doc_id"), "text"), pieces.where(F.col("shard") == k), window, False, "bigint")
+        got = scratch.keep(found.where("n_hit > 0").select("doc_id", "items", "spans"))
+        forget(told)
         hits = got if hits is None else hits.unionByName(got)
     merged = hits.groupBy(F.col("doc_id").alias("row")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     joined = numbered.join(merged, "row", "left")
@@ -208,9 +212,10 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
-def _scan(docs: DataFrame, pieces: DataFrame, window: int, with_text: bool, kind: str) -> DataFrame:
+def _scan(docs: DataFrame, pieces: DataFrame, window: int, with_text: bool, kind: str) -> tuple[DataFrame, Broadcast]:
+    """The hits of one shard, and the broadcast that they read."""
     items = [(r["item"], [w.encode() for w in r["words"]]) for r in pieces.toLocalIterator()]  # bounded by the shard
-    told = docs.sparkSession.sparkContext.broadcast(Automaton.of(items, window))
+    told = share(docs.sparkSession, Automaton.of(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = told.value
@@ -222,7 +227,7 @@ def _scan(docs: DataFrame, pieces: DataFrame, window: int, with_text: bool, kind
                 found.append((len(words), spans, items, without_spans(text, spans) if with_text and spans else text))
             yield _rows(batch.column(0), found, with_text)
 
-    return docs.mapInArrow(run, _schema(kind, with_text))
+    return docs.mapInArrow(run, _schema(kind, with_text)), told
 
 
 def _finisher(with_text: bool):
@@ -258,9 +263,24 @@ def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
     Rows are matched with their hits inside one pass, so repeated and null ids are kept apart.
     """
-    spark = docs.sparkSession
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc_id"), F.col("text"))
     kept = decontaminate(packed, benchmark, with_text=True, **options).where(~is_contaminated())
-    assert spark
     return kept.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"doc_id.`{c}`").alias(c) for c in names])
+
+
+ORACLE_SQL = r"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bi as (select item_id, w, least(len(w), 13) as n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from b where len(w) > 0),
+win as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as s from bi),
+sizes as (select distinct n from win),
+di as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from w, sizes where len(w) >= n),
+dw as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as s from di),
+hit as (select doc_id, d.n, i, item_id from dw d join win using (n, s)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, item_id::varchar as id from hit where item_id is not null) group by doc_id)
+select w.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from w left join words using (doc_id) left join items using (doc_id)
+"""

@@ -207,8 +207,8 @@ def train(spark: SparkSession, precision: float = 0.99) -> Trees:
 def scan(docs: DataFrame, trees: Trees | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and, by kind, ``email, ip, card, phone`` and ``mail, account, number array<struct<s,e,...>>``.
 
-    The last three are what the trees select, where no base kind overlaps it; of candidates of theirs that overlap, the
-    higher score stays, then the earlier one. Places are code points, ends exclusive. Null texts count as empty; repeated
+    The last three are what the trees select, where no base kind overlaps it. Of candidates of theirs that overlap they are
+    taken in order of score, then place, each if it overlaps none that is taken. Places are code points, ends exclusive. Null texts count as empty; repeated
     rows are scanned alike; other columns are ignored; an empty table gives an empty one.
     """
     trees = trees or train(docs.sparkSession)
@@ -221,9 +221,20 @@ def scan(docs: DataFrame, trees: Trees | None = None, id_col: str = "doc_id", te
         return F.filter(scored, lambda x: x["z"] >= trees.limits[name])
 
     df = df.withColumns({name: chosen(name) for name in MORE})
-    all_ = F.concat(*[F.transform(n, lambda x: F.struct(x["s"], x["e"], x["z"])) for n in MORE])
-    better = lambda x: F.exists(all_, lambda o: (o["s"] < x["e"]) & (x["s"] < o["e"]) & ((o["z"] > x["z"]) | ((o["z"] == x["z"]) & (o["s"] < x["s"]))))
-    return df.select("doc_id", *KINDS, *[F.when(F.size(n) > 0, F.filter(n, lambda x: ~better(x))).otherwise(F.col(n)).alias(n) for n in MORE])
+
+    def ranked(k: int) -> Column:
+        return F.transform(MORE[k], lambda x: F.struct((-x["z"]).alias("o"), x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k")))
+
+    def take(done: Column, x: Column) -> Column:
+        return F.when(F.exists(done, lambda o: (o["s"] < x["e"]) & (x["s"] < o["e"])), done).otherwise(F.concat(done, F.array(x)))
+
+    df = df.withColumn("_all", F.array_sort(F.concat(*map(ranked, range(len(MORE))))))
+    df = df.withColumn("_all", F.when(F.size("_all") > 1, F.aggregate("_all", F.slice("_all", 1, 0), take)).otherwise(F.col("_all")))
+
+    def of(k: int) -> Column:
+        return F.array_sort(F.transform(F.filter("_all", lambda x: x["k"] == k), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (-x["o"]).alias("z"))))
+
+    return df.select("doc_id", *KINDS, *[of(k).alias(n) for k, n in enumerate(MORE)])
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -90,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op3_preferences": chat.ORACLE_SQL, "op6_topk": topk.ORACLE_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": lines.ORACLE_SQL, "op3_preferences": chat.ORACLE_SQL, "op6_topk": topk.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL}

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import Scratch, prepare, ship
+from pagewright.llm.common import Scratch, hot_join, prepare, ship
 from pagewright.llm.components import components
 
 ship(__name__)
@@ -93,8 +93,8 @@ def link(nodes: DataFrame, scratch: Scratch, distance: int = DISTANCE, same: int
     same = same or blocks_for(nodes.count())
     keys = nodes.select("fp", F.explode(block_keys(F.col("fp"), distance, same)).alias("key"))
     salted = F.xxhash64("fp")
-    pivots = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("p1"), F.max("fp").alias("p2"), F.min_by("fp", salted).alias("p3"), F.max_by("fp", salted).alias("p4")).where("n > 1").drop("n")
-    met = scratch.keep(keys.join(pivots, "key"))
+    pivots = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("p1"), F.max("fp").alias("p2"), F.min_by("fp", salted).alias("p3"), F.max_by("fp", salted).alias("p4")).where("n > 1")
+    met = scratch.keep(hot_join(keys, scratch.keep(pivots), ["key"], "n").drop("n"))
     to = F.explode(F.array_distinct(F.array("p1", "p2", "p3", "p4")))
     star = met.select(F.col("fp").alias("a"), to.alias("b")).where((F.col("a") != F.col("b")) & near(F.col("a"), F.col("b"), distance))
     first = components(star, scratch)
@@ -125,8 +125,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     roots = scratch.keep(link(nodes.select("fp"), scratch, distance, same))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = rooted.join(lowest, "root").select("fp", "component_id", "n_class")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_class")
+    classes = scratch.keep(rooted.join(lowest, "root").select("fp", "component_id", "n_class"))
+    scratch.drop_all_but(marked, classes)
+    return hot_join(marked, classes, ["fp"], "n_class").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_class")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
@@ -135,8 +136,10 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     Rows that share id and text are one document, of which one row stays. Documents without an id are told apart by a
     hash of their text.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"))
-    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), **options)
-    first = found.where("doc_id = component_id").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.hash").alias("_hash")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
-    return kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    names = docs.columns
+    whole = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    found = near_duplicates(whole.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), **options)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    # Rows of one key are one before they are shuffled, however many.
+    kept = whole.groupBy("key").agg(F.any_value("row").alias("row")).join(first, "key", "left_semi")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
