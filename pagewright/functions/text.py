@@ -31,6 +31,27 @@ def media_type(path: Column) -> Column:
     return F.when(suffix.isin("jpg", "jpeg"), "image/jpeg").when(suffix == "gif", "image/gif").when(suffix == "webp", "image/webp").otherwise("image/png")
 
 
+def base64_image(content: Column) -> Column:
+    """An image's bytes as base64 without line breaks, as models take them."""
+    return F.translate(F.base64(content), "\r\n", "")
+
+
+def iso_time(at: Column | None = None) -> Column:
+    """A time, now unless given, as ``2024-01-31T12:00:00.000000``."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def point_id(pdf: Column, item: Column, page: Column) -> Column:
+    """The id under which an item's description is stored: an MD5 of document, item and page."""
+    return F.md5(F.concat_ws(":", pdf, item, page).cast("binary"))
+
+
+def element_text(description: Column, caption: Column, fallback: Column) -> Column:
+    """An element's description and caption as one text; the fallback if both are missing or empty."""
+    none = lambda c: F.nullif(strip(c), F.lit(""))
+    return F.coalesce(F.nullif(F.concat_ws(" ", none(description), none(caption)), F.lit("")), fallback)
+
+
 def stem(path: Column) -> Column:
     """File name without its last suffix."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")

@@ -128,6 +128,11 @@ def without_items(pages: DataFrame, elements: DataFrame) -> DataFrame:
     return pages.select(*PAGE).join(elements.where("kind in ('figure', 'table')"), PAGE, "left_anti")
 
 
+def boxes_told(elements: DataFrame) -> DataFrame:
+    """By page: how many elements have a box, and how many have none."""
+    return elements.groupBy(*PAGE).agg(F.count_if(F.col("x1").isNotNull()).alias("with_box"), F.count_if(F.col("x1").isNull()).alias("without_box"))
+
+
 def document_counts(resolved: DataFrame) -> DataFrame:
     """By document; ``total_figures`` counts the matches of tables too."""
     return resolved.groupBy("doc_id").agg(F.count("*").alias("total_figures"), F.count_if(F.col("kind") == "table").alias("total_tables"), F.count_if(F.col("caption_id").isNotNull()).alias("total_with_captions"), F.countDistinct("page_number").alias("pages_with_matches"))

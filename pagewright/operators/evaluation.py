@@ -93,8 +93,16 @@ def error_histogram(compared: DataFrame) -> DataFrame:
     return compared.where("not is_correct").groupBy("error_type").agg(F.count("*").alias("n"))
 
 
+#: Fixed value: what an error's list says of a prediction that was found.
+MATCHED = "matched (IoU-based)"
+
+
 def errors_by_page(compared: DataFrame) -> DataFrame:
-    return compared.where("not is_correct").select(*PAGE, "figure_id", "error_type", F.when(F.col("found") & F.col("pcx1").isNotNull(), "matched (IoU-based)").alias("predicted"), F.col("caption_id").alias("expected"))
+    return compared.where("not is_correct").select(*PAGE, "figure_id", "error_type", F.when(F.col("found") & F.col("pcx1").isNotNull(), MATCHED).alias("predicted"), F.col("caption_id").alias("expected"))
+
+
+def matches_of_page(truth: DataFrame, page: int) -> DataFrame:
+    return truth.where(F.col("page_number") == page)
 
 
 def caption_map(truth: DataFrame) -> DataFrame:

@@ -38,6 +38,21 @@ def palette(spark: SparkSession, colors: dict[str, tuple[int, int, int]] | None
     return spark.createDataFrame(rows, "name string, ord int, b int, g int, r int")
 
 
+def upsert(colors: DataFrame, changed: dict[str, tuple[int, int, int]]) -> DataFrame:
+    """A palette with these colours: known names change in place, new ones come last."""
+    new = palette(colors.sparkSession, changed).select("name", F.col("ord").alias("_o"), *[F.col(c).alias(f"_{c}") for c in "bgr"])
+    many = F.coalesce(F.max("ord").over(Window.partitionBy()), F.lit(-1)) + 1
+    both = colors.join(F.broadcast(new), "name", "full").withColumn("ord", F.coalesce("ord", many + F.col("_o")))
+    return both.select("name", "ord", *[F.coalesce(f"_{c}", c).alias(c) for c in "bgr"])
+
+
+def visualizer(style: str = "class", show_confidence: bool = True):
+    """How a drawing labels its boxes: ``numbered`` by kind and number (kind, no, det_idx), any other by class (and confidence)."""
+    if style == "numbered":
+        return lambda: numbered_label(F.col("kind"), F.col("no"), F.col("det_idx"))
+    return lambda: class_label(F.col("class_name"), F.col("confidence") if show_confidence else None)
+
+
 def colored(rows: DataFrame, name: str, colors: DataFrame, default: tuple[int, int, int] = DEFAULT_COLOR) -> DataFrame:
     """Adds b, g and r by name, the default's for unknown names."""
     looked = F.broadcast(colors.select(F.col("name").alias("_n"), "b", "g", "r"))
@@ -70,3 +85,12 @@ def legend(colors: DataFrame, height: int = 400, margin: int = 20, line_height:
     """A legend's rows with their offsets, down to the last that fits."""
     placed = colors.withColumn("y", F.lit(margin + 10) + (F.row_number().over(Window.orderBy("ord")) - 1) * line_height)
     return placed.where(F.col("y") + box <= height - 10)
+
+
+def kind_legend(spark: SparkSession, counts: dict[str, int] | None = None) -> DataFrame:
+    """The legend of an annotation's drawing: a row for each kind, with its colour and, if given, how many there are."""
+    names = palette(spark, KIND_COLORS).withColumn("label", F.initcap("name"))
+    if counts:
+        told = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
+        names = names.withColumn("label", F.concat("label", F.coalesce(F.concat(F.lit(" ("), F.try_element_at(told, F.col("name")), F.lit(")")), F.lit(""))))
+    return legend(names)

@@ -58,6 +58,12 @@ def validate(documents: DataFrame, listing: DataFrame, base: str) -> DataFrame:
     return rows.select("name", F.coalesce("has_annotation", F.lit(False)).alias("valid"), (F.col("ext").isNotNull() & F.col("has_extraction").isNull()).alias("missing_extraction"))
 
 
+def validity(validated: DataFrame) -> DataFrame:
+    """One row for a data set of ``validate``: whether every document is valid, how many are, and which lack a file."""
+    listed = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("name"))))
+    return validated.agg(F.coalesce(F.bool_and("valid"), F.lit(False)).alias("valid"), F.count("*").alias("total"), F.count_if("valid").alias("valid_documents"), listed(~F.col("valid")).alias("missing_annotations"), listed(F.col("missing_extraction")).alias("missing_extractions"))
+
+
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")

@@ -225,6 +225,39 @@ bo as (select doc_id, item_id, 0 as source, x1 from num union all select doc_id,
 '| True Positives | ' || tp || ' |', '| False Positives | ' || fp || ' |', '| False Negatives | ' || fn || ' |'] as ls from (select {COUNTS} from comp)))""",
         True,
     ),
+    "point_ids": q(DET, "select event_id, md5('doc' || doc_id || ':' || det_idx || ':' || page_number) as point_id from det"),
+    "base64_images": q(FILES, "select doc_id, to_base64(name::blob) as content from files"),
+    "element_texts": "select n_nationkey, case when n_nationkey % 3 = 2 and n_nationkey % 2 = 0 then n_name || ' a caption' when n_nationkey % 3 = 2 then n_name when n_nationkey % 2 = 0 then 'a caption' else 'figure' end as text from nation",
+    "matches_of_page": q(TRUTH, "select figure_id, kind from truth where page_number = 3", True),
+    "elements_with_box": q(DET, f"select {P}, count(*) filter (det_idx % 5 <> 0) as with_box, count(*) filter (det_idx % 5 = 0) as without_box from det group by all"),
+    "palette_upsert": "select * from (values ('Figure', 0::bigint, 0::bigint, 255::bigint, 0::bigint), ('Table', 1, 1, 2, 3), ('New', 3, 4, 5, 6)) t(name, ord, b, g, r)",
+    "visualizer_labels": q(DET + ELEMENTS, f"select {P}, det_idx, case kind when 'figure' then 'F' when 'table' then 'T' else 'C' end || no as numbered, class_name as plain from eli"),
+    "manifest_validity": q(MANIFEST, "select bool_and(doc_id % 5 <> 0) as valid, count(*) as total, count(*) filter (doc_id % 5 <> 0) as valid_documents, count(*) filter (doc_id % 5 = 0) as n_annotations, coalesce(string_agg(name, ',' order by name) filter (extraction_path is not null and doc_id % 3 <> 0), '') as missing_extractions from man"),
+    "page_results": q(DET, f"select p.doc_id, p.page_number, count(det_idx) as num_detections, coalesce(string_agg(class_name, ',' order by det_idx), '') as classes from pages_ p left join det using (doc_id, page_number) group by all"),
+    "document_results": q(DET, "select doc_id, 10::bigint as total_pages, null::double as processing_time_seconds, 10::bigint as n_pages, count(*) as total_detections from det group by doc_id"),
+    "annotation_documents": q(
+        DET + ELEMENTS + ANSWERS,
+        f"""select {P}, (select count(*) from am where am.doc_id = a.doc_id and am.page_number = a.page_number) as n_matches,
+coalesce((select string_agg(item_id, ',' order by no) from loosei l where ok and l.kind = 'caption' and l.doc_id = a.doc_id and l.page_number = a.page_number), '') as unmatched_captions,
+(select count(*) from loosei l where ok and l.kind = 'figure' and l.doc_id = a.doc_id and l.page_number = a.page_number) as n_figures from ans a""",
+    ),
+    "direct_statistics": q(DET, "select doc_id, sum(f)::bigint as total_figures, sum(f)::bigint as total_tables, sum(f)::bigint as total_captions, sum(f)::bigint as total_matches, sum(case when page_number % 2 = 0 then f else 0 end)::bigint as matches_with_captions, sum(f)::bigint as pages_with_content from (select *, case when (doc_id+page_number)%4 < 2 then 1 else 0 end as f from pages_) group by doc_id"),
+    "benchmark_documents": q(
+        BEST.replace("where confidence >= 0.7", "where confidence >= 0.7 and doc_id % 5 <> 1"),
+        f"""select doc_id, total, tp, fp, fn, precision, f1, false as failed from (select *, {PRF} from (select doc_id, {COUNTS} from comp group by doc_id))
+union all select doc_id, 0, 0, 0, 0, 0.0, 0.0, false from truth where doc_id % 5 <> 1 and doc_id not in (select doc_id from comp) group by doc_id
+union all select doc_id, null, null, null, null, null, null, true from truth where doc_id % 5 = 1 group by doc_id""",
+        True,
+    ),
+    "benchmark_report": q(
+        BEST.replace("where confidence >= 0.7", "where confidence >= 0.7 and doc_id % 5 <> 1"),
+        f"""select part::bigint as part, line from (select unnest([0,0,0,0,0,0,0,0,0,0,0,1,3,3,3,5,7,8,9]) as part, unnest(['# Caption Matching Benchmark Report', '## Dataset Information', '- **Name:** set', '- **Version:** 1.0',
+'- **Total Documents:** ' || (select count(distinct doc_id) from truth), '- **Successful Evaluations:** ' || (select count(distinct doc_id) from truth where doc_id % 5 <> 1), '## Overall Metrics', '## Detailed Counts',
+'| True Positives | ' || tp || ' |', '| False Positives | ' || fp || ' |', '| False Negatives | ' || fn || ' |', '## Per-Type Metrics', '## Per-Document Results', '| Document | Precision | Recall | F1 | Status |', '|----------|-----------|--------|-----|--------|', '## Errors', '## Evaluator Configuration', '- **threshold:** 0.5', '*Report generated at t*']) as line from (select {COUNTS} from comp))
+where part <> 5 or exists (select 1 from truth where doc_id % 5 = 1)""",
+        True,
+    ),
+    "batch_outcome": q(FILES, "select count(*) filter (doc_id % 7 <> 0 and doc_id % 3 <> 0) as successes, count(*) filter (doc_id % 7 = 0 or doc_id % 3 = 0) as failures from files"),
     "comparison_pivot": q(RUNS, "select key, coalesce(max(value) filter (label = 'run0'), '-') as run0, coalesce(max(value) filter (label = 'run1'), '-') as run1, coalesce(max(value) filter (label = 'run2'), '-') as run2 from runs group by key"),
     "config_union": q(RUNS, "select distinct key from runs"),
     "topk_cosine": "select vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double*q[i]::double)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::double*x::double))) * sqrt(list_sum(list_transform(q, lambda x: x::double*x::double)))), 6) as similarity from embeddings, (select embedding as q from embeddings where vec_id = 0) order by 2 desc, 1 limit 10",

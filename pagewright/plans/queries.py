@@ -13,6 +13,7 @@ from pagewright.functions.geometry import Box, horizontal_overlap, thousandths_t
 from pagewright.functions.geometry import percent as box_percent_of
 from pagewright.operators import annotation, evaluation, export, extraction, labels, manifest, matching, report, stats
 from pagewright.operators.matching import BOX, PAGE
+from pagewright.plans import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -449,18 +450,116 @@ def report_sections(s, d):
     return report.sections(one).select(F.col("ord").cast("bigint").alias("ord"), "line")
 
 
-def runs(s: SparkSession, d: str) -> DataFrame:
+def run_values(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/nation.parquet").selectExpr("concat('run', n_regionkey) as label", "concat('key', n_nationkey % 7) as key", "n_name as value").dropDuplicates(["label", "key"]).selectExpr("label", "key", "concat(label, '/', key) as value")
 
 
 @query
 def comparison_pivot(s, d):
-    return report.side_by_side(runs(s, d), ["run0", "run1", "run2"])
+    return report.side_by_side(run_values(s, d), ["run0", "run1", "run2"])
 
 
 @query
 def config_union(s, d):
-    return report.config_keys(runs(s, d))
+    return report.config_keys(run_values(s, d))
+
+
+@query
+def point_ids(s, d):
+    return fixtures.detections(s, d).select("event_id", text.point_id(F.concat(F.lit("doc"), "doc_id"), F.col("det_idx"), F.col("page_number")).alias("point_id"))
+
+
+@query
+def base64_images(s, d):
+    return files(s, d).select("doc_id", text.base64_image(F.col("name").cast("binary")).alias("content"))
+
+
+@query
+def element_texts(s, d):
+    rows = s.read.parquet(f"{d}/nation.parquet").selectExpr("n_nationkey", "case n_nationkey % 3 when 0 then null when 1 then ' ' else n_name end as description", "case when n_nationkey % 2 = 0 then ' a caption' end as caption")
+    return rows.select("n_nationkey", text.element_text(F.col("description"), F.col("caption"), F.lit("figure")).alias("text"))
+
+
+@query
+def matches_of_page(s, d):
+    return evaluation.matches_of_page(fixtures.ground_truth(fixtures.detections(s, d)), 3).select("figure_id", "kind")
+
+
+@query
+def elements_with_box(s, d):
+    rows = fixtures.detections(s, d).withColumn("x1", F.when(F.col("det_idx") % 5 != 0, F.col("x1")))
+    return annotation.boxes_told(rows)
+
+
+@query
+def palette_upsert(s, d):
+    rows = labels.upsert(labels.palette(s, {"Figure": (0, 255, 0), "Table": (255, 0, 0)}), {"Table": (1, 2, 3), "New": (4, 5, 6)})
+    return rows.select("name", *[F.col(c).cast("bigint").alias(c) for c in ("ord", "b", "g", "r")])
+
+
+@query
+def visualizer_labels(s, d):
+    rows = elements(s, d).withColumn("confidence", F.round("confidence", 1))
+    return rows.select(*PAGE, "det_idx", labels.visualizer("numbered")().alias("numbered"), labels.visualizer("class", False)().alias("plain"))
+
+
+@query
+def manifest_validity(s, d):
+    told = manifest.validity(manifest.validate(manifest_rows(s, d), listing(s, d), "bench"))
+    return told.select("valid", "total", "valid_documents", F.size("missing_annotations").cast("bigint").alias("n_annotations"), F.array_join("missing_extractions", ",").alias("missing_extractions"))
+
+
+@query
+def page_results(s, d):
+    rows = runs.page_results(fixtures.pages(s, d).selectExpr("*", "cast(null as string) as image_path", "1654 as width", "2339 as height"), fixtures.detections(s, d).withColumn("class_id", F.lit(1)))
+    return rows.select(*PAGE, F.col("page.num_detections").cast("bigint").alias("num_detections"), F.coalesce(F.array_join(F.transform("page.detections", lambda x: x["class_name"]), ","), F.lit("")).alias("classes"))
+
+
+@query
+def document_results(s, d):
+    page, det = fixtures.pages(s, d).selectExpr("*", "cast(null as string) as image_path", "1654 as width", "2339 as height"), fixtures.detections(s, d).withColumn("class_id", F.lit(1))
+    rows = runs.document_results(page, det, "m", F.lit("t"), F.lit(0.0))
+    return rows.select(F.col("pdf_name").alias("doc_id"), F.col("total_pages").cast("bigint").alias("total_pages"), "processing_time_seconds", F.size("pages").cast("bigint").alias("n_pages"), F.col("statistics.total_detections").cast("bigint").alias("total_detections"))
+
+
+@query
+def annotation_documents(s, d):
+    """Annotation files, opened again."""
+    docs = annotation.documents(annotated(s, d), "m", F.lit("t"))
+    rows = docs.select(F.col("pdf_name").alias("doc_id"), F.explode("pages").alias("p"))
+    return rows.select("doc_id", "p.page_number", F.size("p.matches").cast("bigint").alias("n_matches"), F.array_join("p.unmatched_captions", ",").alias("unmatched_captions"), F.size("p.unmatched_figures").cast("bigint").alias("n_figures"))
+
+
+@query
+def direct_statistics(s, d):
+    """Direct mode over an answer for every page."""
+    form = (F.col("doc_id") + F.col("page_number")) % 4
+    body = F.format_string('{"elements":[{"id":1,"type":"figure","bbox":{"x1":1,"y1":2,"x2":3,"y2":4}},{"id":1,"type":"caption","text":"t"},{"id":%d,"type":"table"},],"matches":[{"figure_id":1,"caption_id":%s},{"caption_id":3}],"unmatched_tables":[%d]}', "page_number", F.when(F.col("page_number") % 2 == 0, "1").otherwise("null"), "page_number")
+    rows = fixtures.pages(s, d).withColumn("raw_response", F.when(form == 3, "no json").when(form == 2, '{"elements": []}').otherwise(body))
+    return annotation.direct_statistics(annotation.direct_pages(annotation.parse(rows)))
+
+
+def benchmark(s: SparkSession, d: str) -> runs.Benchmark:
+    det = fixtures.detections(s, d)
+    return runs.evaluate(fixtures.ground_truth(det), fixtures.predictions(det).where("doc_id % 5 <> 1"), "set")
+
+
+@query
+def benchmark_documents(s, d):
+    return benchmark(s, d).documents.select(F.col("name").alias("doc_id"), "total", "tp", "fp", "fn", "precision", "f1", F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def benchmark_report(s, d):
+    """The whole report of a batch, its metrics in thousandths of a percent left out where they tie."""
+    done = benchmark(s, d)
+    lines = report.markdown(done.summary, done.kinds, done.documents.withColumn("name", F.concat(F.lit("doc"), "name")), {"threshold": "0.5"}, F.lit("t"))
+    return lines.where("line not like '| doc%' and line not like '- **doc%'").select(F.col("part").cast("bigint").alias("part"), "line").where("part in (0, 1, 3, 5, 7, 8, 9) and line not like '| Precision%' and line not like '| Recall%' and line not like '| F1%'")
+
+
+@query
+def batch_outcome(s, d):
+    return runs.batch_outcome(files(s, d).selectExpr("case when doc_id % 7 = 0 then null else doc_id % 3 <> 0 end as success"))
 
 
 @query

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 DETECTED = "doc_id string, page_number int, det_idx long, class_id int, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double"
 ANSWERED = "doc_id string, page_number int, success boolean, raw_response string, error string"
+INFORMED = "name string, n_pages int, metadata map<string,string>, sizes array<struct<width:double,height:double>>, error string"
 RASTERISED = "name string, page_number int, image_path string, width int, height int, status string, content binary"
 
 
@@ -22,6 +23,9 @@ class PageSource(Protocol):
     def pages(self, name: str, content: bytes) -> list[tuple[int, int, int, bytes]]:
         """(number from 1, width, height, PNG) of a PDF's pages."""
 
+    def info(self, name: str, content: bytes) -> tuple[dict[str, str], list[tuple[float, float]]]:
+        """A PDF's metadata, and the sizes of its pages in points."""
+
 
 class Detector(Protocol):
     def detect(self, image: bytes) -> list[tuple[int, str, float, float, float, float, float]]:
@@ -44,6 +48,9 @@ class StubPages:
     def pages(self, name: str, content: bytes) -> list[tuple[int, int, int, bytes]]:
         return [(k + 1, 1654, 2339, b"") for k in range(-(-len(content) // 1000))]
 
+    def info(self, name: str, content: bytes) -> tuple[dict[str, str], list[tuple[float, float]]]:
+        return {"title": name}, [(612.0, 792.0) for _ in self.pages(name, content)]
+
 
 class StubDetector:
     """A figure with its caption on every page."""
@@ -75,6 +82,32 @@ def rasterise(files: DataFrame, source: PageSource) -> DataFrame:
     return files.select("name", "content").mapInPandas(run, RASTERISED)
 
 
+def pdf_info(files: DataFrame, source: PageSource) -> DataFrame:
+    """Number, sizes (in points) and metadata of the pages of files (name, content), or the error of a file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                try:
+                    metadata, sizes = source.info(name, bytes(content))
+                    rows.append((name, len(sizes), metadata, [{"width": w, "height": h} for w, h in sizes], None))
+                except Exception as e:  # noqa: BLE001  the error is the result
+                    rows.append((name, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["name", "n_pages", "metadata", "sizes", "error"]).astype({"n_pages": "Int32"})
+
+    return files.select("name", "content").mapInPandas(run, INFORMED)
+
+
+def available(model: Model) -> str | None:
+    """Why a model can't be asked, or None if it can, as its own ``check`` (if it has one) tells on the driver."""
+    try:
+        getattr(model, "check", lambda: None)()
+    except Exception as e:  # noqa: BLE001  the error is the result
+        return f"{type(e).__name__}: {e}"
+    return None
+
+
 def detect(pages: DataFrame, detector: Detector, minimum: float = 0.25) -> DataFrame:
     """Detections on pages (doc_id, page_number, content) with at least this confidence."""
 

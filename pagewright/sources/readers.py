@@ -92,7 +92,7 @@ def predicted(extractions: DataFrame) -> DataFrame:
 
 def pdf_files(spark: SparkSession, directory: str) -> DataFrame:
     """(path, name, content) of a directory's PDFs. Names are stems; without content read, it is only a listing."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(directory)
+    files = spark.read.format("binaryFile").load(f"{directory}/*.pdf")
     return files.select("path", stem(F.col("path")).alias("name"), "length", "content")
 
 
@@ -101,6 +101,26 @@ def listing(spark: SparkSession, directory: str, glob: str = "*", recursive: boo
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(directory).select("path", "length")
 
 
+def by_name(files: DataFrame) -> DataFrame:
+    """Files in the order of their paths."""
+    return files.orderBy("path")
+
+
+def expand(spark: SparkSession, patterns: list[str]) -> tuple[list[str], list[str]]:
+    """Paths that patterns stand for, in order and once, and the patterns that stand for none; ``*`` also crosses folders as ``**``.
+
+    A pattern is resolved by the file system it names, a plain path stands for itself if it is there.
+    """
+    found, missing = [], []
+    for pattern in patterns:
+        at = spark._jvm.org.apache.hadoop.fs.Path(pattern.replace("**/", "*/"))
+        met = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(at)
+        paths = sorted(str(x.getPath()) for x in met or [])
+        found += [x for x in paths if x not in found]
+        missing += [] if paths else [pattern]
+    return found, missing
+
+
 def expand_pages(files: DataFrame, selected: list[int] | None = None) -> DataFrame:
     """A row for each 0-based page of files (n_pages); selected pages that a file doesn't have are left out."""
     every = files.where("n_pages > 0").withColumn("page_index", F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1)))
