@@ -112,9 +112,12 @@ API_ERRORS = {
 }
 
 
-def friendly_error(kind: Column, message: Column, model: Column) -> Column:
-    """An API error in plain words, with at most 200 characters of its message."""
-    clean = strip(F.split_part(F.split_part(message, F.lit("Give Feedback"), F.lit(1)), F.lit("Get Help"), F.lit(1)))
+def friendly_error(kind: Column, message: Column, model: Column, provider: Column | None = None) -> Column:
+    """An API error in plain words, with at most 200 characters of its message, which names the provider where that is told."""
+    marks = F.contains(message, F.lit("Give Feedback")) | F.contains(message, F.lit("Get Help"))
+    clean = F.when(marks, strip(F.split_part(F.split_part(message, F.lit("Give Feedback"), F.lit(1)), F.lit("Get Help"), F.lit(1)))).otherwise(message)
+    if provider is not None:
+        clean = F.when(F.length(provider) > 0, F.concat(F.lit("["), provider, F.lit("] "), clean)).otherwise(clean)
     known = F.create_map(*[F.lit(x) for pair in API_ERRORS.items() for x in pair])
     said = F.coalesce(F.try_element_at(known, kind), F.lit("API error: {detail}"))
     return F.replace(F.replace(said, F.lit("{detail}"), F.left(clean, F.lit(200))), F.lit("{model}"), model)

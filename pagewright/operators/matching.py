@@ -65,16 +65,50 @@ def greedy(pairs: DataFrame) -> DataFrame:
     return rows.select(*PAGE, "kind", F.explode(taken).alias("p")).select(*PAGE, "kind", F.col("p.i").alias("item_idx"), F.col("p.c").alias("cap_idx"), F.col("p.d").alias("dist"))
 
 
+def assigned(detections: DataFrame, directions: dict[str, str] | None = None, max_distance: float = MAX_DISTANCE, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """A row for each page: its ``items`` and ``caps`` with kind, place and box, and ``taken``, the greedy pairs of both kinds.
+
+    ``greedy`` over ``candidates``, with everything about a page in one row: detections are read once and shuffled once, by
+    page, which later joins on the page keep.
+    """
+    directions = directions or DIRECTIONS
+    role = F.coalesce(kind_of(ITEM_CLASSES), kind_of(CAPTION_CLASSES))
+    rows = detections.select(*PAGE, kind_of(ITEM_CLASSES).isNotNull().alias("is_item"), role.alias("kind"), F.struct(role.alias("kind"), F.col("det_idx").cast("bigint").alias("i"), *BOX).alias("d")).where("kind is not null")
+    of = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("d"))))
+    pages = rows.groupBy(*PAGE).agg(of(F.col("is_item")).alias("items"), of(~F.col("is_item")).alias("caps"))
+    pair = "struct<kind:string,d:double,i:bigint,c:bigint>"
+
+    def pairs_of(item: Column) -> Column:
+        side = F.when(item["kind"] == "table", directions["table"]).otherwise(directions["figure"])
+        fits = F.filter("caps", lambda c: (c["kind"] == item["kind"]) & is_valid(Box.struct(item), Box.struct(c), side, max_distance, min_overlap))
+        return F.transform(fits, lambda c: F.struct(item["kind"], vertical_distance(Box.struct(item), Box.struct(c), side), item["i"], c["i"]).cast(pair))
+
+    def take(done: Column, p: Column) -> Column:
+        clash = F.exists(done, lambda x: (x["kind"] == p["kind"]) & ((x["i"] == p["i"]) | (x["c"] == p["c"])))
+        return F.when(clash, done).otherwise(F.concat(done, F.array(p)))
+
+    pages = pages.withColumn("pairs", F.array_sort(F.flatten(F.transform("items", pairs_of))))
+    return pages.select(*PAGE, "items", "caps", F.aggregate("pairs", F.array().cast(f"array<{pair}>"), take).alias("taken"))
+
+
 def match(detections: DataFrame, **options) -> DataFrame:
     """Every item, with its caption or nulls."""
-    items, captions = sides(detections)
-    pairs = greedy(candidates(items, captions, **options))
-    return items.join(pairs, [*PAGE, "kind", "item_idx"], "left").join(captions, [*PAGE, "kind", "cap_idx"], "left")
+
+    def met(item: Column) -> Column:
+        return F.get(F.filter("taken", lambda t: (t["kind"] == item["kind"]) & (t["i"] == item["i"])), F.lit(0))
+
+    def row(item: Column) -> Column:
+        told = F.transform(F.array(met(item)), lambda t: F.struct(t.alias("t"), F.get(F.filter("caps", lambda c: (c["kind"] == item["kind"]) & (c["i"] == t["c"])), F.lit(0)).alias("c")))
+        return F.struct(item.alias("item"), F.element_at(told, 1).alias("to"))
+
+    rows = assigned(detections, **options).select(*PAGE, F.explode(F.transform("items", row)).alias("r"))
+    return rows.select(*PAGE, "r.item.kind", F.col("r.to.t.c").alias("cap_idx"), F.col("r.item.i").alias("item_idx"), *[F.col(f"r.item.{c}").alias(c) for c in BOX], F.col("r.to.t.d").alias("dist"), *[F.col(f"r.to.c.{c}").alias(f"c{c}") for c in BOX])
 
 
 def unmatched_captions(detections: DataFrame, **options) -> DataFrame:
-    items, captions = sides(detections)
-    return captions.join(greedy(candidates(items, captions, **options)), [*PAGE, "kind", "cap_idx"], "left_anti")
+    rest = F.filter("caps", lambda c: ~F.exists("taken", lambda t: (t["kind"] == c["kind"]) & (t["c"] == c["i"])))
+    rows = assigned(detections, **options).select(*PAGE, F.explode(rest).alias("c"))
+    return rows.select(*PAGE, "c.kind", F.col("c.i").alias("cap_idx"), *[F.col(f"c.{c}").alias(f"c{c}") for c in BOX])
 
 
 def suppress(detections: DataFrame, threshold: float = 0.45) -> DataFrame:

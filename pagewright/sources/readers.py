@@ -12,16 +12,23 @@ from pagewright.functions.text import stem
 from pagewright.operators.matching import BOX
 
 
-def load_config(path: str) -> dict[str, Any]:
-    """Parameters of a YAML file on the driver; none without the file. Needs a YAML library."""
+def load_config(path: str, spark: SparkSession | None = None) -> dict[str, Any]:
+    """Parameters of a YAML file; none without the file. With a session any file system is read, else the driver's. Needs a YAML library."""
     import os
 
-    if not os.path.exists(path):
+    if spark is not None:
+        if not expand(spark, [path])[0]:
+            return {}
+        text = spark.read.text(path, wholetext=True).first()
+        content = text[0] if text else ""
+    elif os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            content = f.read()
+    else:
         return {}
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f) or {}
+    return yaml.safe_load(content) or {}
 
 
 def json_files(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:

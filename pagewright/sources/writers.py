@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators.matching import BOX
 
-#: The labelling tool's interface. Fixed value.
+#: An interface for the labelling tool, made for the tasks of ``operators.export``.
 LABELING_CONFIG = """<View>
   <Image name="image" value="$image" zoom="true"/>
   <RectangleLabels name="bbox" toName="image">
