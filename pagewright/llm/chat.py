@@ -3,6 +3,8 @@
 The longest common prefix of turns is rendered once as the prompt; what follows in either conversation is its completion.
 A completion's mask lists what a model is trained on, the texts of the assistant's turns with their end mark, as places in
 code points from the completion's start, ends exclusive.
+
+Roles and texts can't forge a turn: the beginning of a mark, ``<|``, is rendered as ``<\\|`` inside of them.
 """
 
 from __future__ import annotations
@@ -15,6 +17,11 @@ from pagewright.llm.spans import running
 HEAD, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 
 
+def escaped(text: Column) -> Column:
+    """A role or text without the beginning of a mark; null counts as empty."""
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("<\\|"))
+
+
 def render(turns: Column) -> Column:
     """The text of an array of turns."""
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(HEAD), t["role"], F.lit(MIDDLE), t["text"], F.lit(END))), "")
@@ -47,7 +54,7 @@ def preferences(turns: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     empty, turns without a number come first, repeated rows count once, and turns without a conversation are no pair's. A
     conversation that is missing has no turns, so its pair still gives a row, as long as the other side is there.
     """
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null")
+    t = turns.select("conv_id", "turn", escaped(F.col("role")).alias("role"), escaped(F.col("text")).alias("text")).where("conv_id is not null")
     if pairs is None:
         sided = t.withColumns({"pair_id": F.floor(F.col("conv_id") / 2).cast("bigint"), "second": F.pmod("conv_id", F.lit(2)) == 1})
     else:
@@ -68,7 +75,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = """
-with t as (select distinct conv_id // 2 as pair_id, conv_id % 2 as side, turn, coalesce(role, '') as role, coalesce("text", '') as txt from conversations where conv_id is not null),
+with t as (select distinct conv_id // 2 as pair_id, conv_id % 2 as side, turn, replace(coalesce(role, ''), '<|', '<\\|') as role, replace(coalesce("text", ''), '<|', '<\\|') as txt from conversations where conv_id is not null),
 n as (select *, row_number() over (partition by pair_id, side order by turn nulls first, role, txt) - 1 as i from t),
 same as (select pair_id, i, count(distinct (role, txt)) = 1 and count(*) = 2 as eq from n group by pair_id, i),
 pre as (select s.pair_id, coalesce(min(s.i) filter (not eq), max(s.i) + 1) as n_prompt from same s group by s.pair_id),

@@ -24,7 +24,8 @@ parts, and all but k of ``parts`` parts, each moved by as many characters as the
 that share such a remainder are candidates, verified by edit distance: first each line against the earliest line of its
 remainders, then only the lines left over against the earlier ones, in groups of at most ``GROUP`` lines. In larger groups
 the touched parts, where alone the lines differ, are cut into parts in turn, so that groups shrink with each of ``DEPTH``
-levels; what is left there differs in a few characters.
+levels; what is left there differs in a few characters. Candidates whose characters' parities differ in more bits than the
+edits can change are no candidates.
 """
 
 from __future__ import annotations
@@ -223,9 +224,16 @@ def narrowed(rows: DataFrame, edits: int, parts: int) -> DataFrame:
     return rows.select("h1", "h2", "scope", "rest", "wanted").mapInArrow(run, "h1 long, h2 int, scope long, rest binary")
 
 
+def signature(line: Column) -> Column:
+    """64 bits, each the parity of the characters that hash to it; an edit changes two of them at most."""
+    bits = F.transform(F.split(line, ""), lambda c: F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)))
+
+
 def near_by_parts(active: DataFrame, scratch: Scratch, edits: int, parts: int, per: int) -> DataFrame:
     """(h1, h2) of the lines of ``active`` (doc_id, pos, line, h1, h2) that are within ``edits`` edits of an earlier one."""
-    place = active.select("h1", "h2", F.struct("doc_id", "pos").alias("at"))
+    place = scratch.keep(active.select("h1", "h2", F.struct("doc_id", "pos").alias("at"), signature(F.col("line")).alias("sig")))
+    may = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig2"))) <= 2 * edits
     ours = active.select("h1", "h2", F.col("line").alias("mine"))
     theirs = active.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("theirs"))
 
@@ -239,15 +247,15 @@ def near_by_parts(active: DataFrame, scratch: Scratch, edits: int, parts: int, p
         cut = parts if depth == 0 else max(FEW_PARTS, edits + 2)
         keyed = scratch.keep(remainders(rows, edits, cut).distinct())
         keyed = scratch.keep(keyed.join(shared_keys(keyed), "key", "left_semi").join(place, ["h1", "h2"]))
-        groups = keyed.groupBy("key").agg(F.min(F.struct("at", F.col("h1").alias("g1"), F.col("h2").alias("g2"))).alias("least"), F.count("*").alias("n"))
-        groups = scratch.keep(groups.select("key", F.col("least.at").alias("to"), "least.g1", "least.g2", "n"))
+        groups = keyed.groupBy("key").agg(F.min(F.struct("at", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("sig").alias("sig2"))).alias("least"), F.count("*").alias("n"))
+        groups = scratch.keep(groups.select("key", F.col("least.at").alias("to"), "least.g1", "least.g2", "least.sig2", "n"))
         with_first = hot_join(keyed, groups, ["key"], "n")
-        near = scratch.keep(near.unionByName(verified(with_first.where("to < at").select("h1", "h2", "g1", "g2"))).distinct())
+        near = scratch.keep(near.unionByName(verified(with_first.where("to < at").where(may).select("h1", "h2", "g1", "g2"))).distinct())
         # What is left: lines that are not the earliest of a group and not near it.
-        left = scratch.keep(with_first.where("to < at").join(near, ["h1", "h2"], "left_anti").select("key", "h1", "h2", "at", "n"))
+        left = scratch.keep(with_first.where("to < at").join(near, ["h1", "h2"], "left_anti").select("key", "h1", "h2", "at", "sig", "n"))
         most = F.lit(GROUP) if depth < DEPTH - 1 else F.col("n")
-        other = keyed.join(left.where(F.col("n") <= most).select("key").distinct(), "key", "left_semi").select("key", F.col("at").alias("to"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-        pairs = left.where(F.col("n") <= most).join(other, "key").where("to < at").select("h1", "h2", "g1", "g2")
+        other = keyed.join(left.where(F.col("n") <= most).select("key").distinct(), "key", "left_semi").select("key", F.col("at").alias("to"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("sig").alias("sig2"))
+        pairs = left.where(F.col("n") <= most).join(other, "key").where("to < at").where(may).select("h1", "h2", "g1", "g2")
         near = scratch.keep(near.unionByName(verified(pairs)).distinct())
         large = left.where(F.col("n") > most).join(near, ["h1", "h2"], "left_anti").select("key").distinct()
         wanted = keyed.join(large, "key", "left_semi").groupBy("h1", "h2").agg(F.collect_set("key").alias("wanted"))
