@@ -298,23 +298,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
         starts, flat = held["starts"], held["flat"]
         if "pieces" not in held:
             pieces = held["pieces"] = pieces_of(by_bytes)
-            held["shown"] = Lazy(lambda c: " ".join(map(str, flat[starts[c] : starts[c + 1]].tolist())))
+            names = held["names"] = [str(i) for i in range(len(pieces))]
+            held["shown"] = Lazy(lambda c: " ".join(map(names.__getitem__, flat[starts[c] : starts[c + 1]].tolist())))
             held["back"] = Lazy(lambda c: joined(flat[starts[c] : starts[c + 1]].tolist(), pieces))
-        pieces, shown, back = held["pieces"], held["shown"], held["back"]
+        pieces, names, shown, back = held["pieces"], held["names"], held["shown"], held["back"]
         first, many = starts[:-1], np.diff(starts)
 
-        def own_words(rest: list[list[int]], folded: list[list[int] | None]) -> list[list[int]]:
-            return [merge_long(joined(w, pieces), by_bytes) if x is None else x for w, x in zip(rest, folded, strict=True)]
-
-        def digest(codes: np.ndarray, own: list[list[int]]) -> tuple[int, str, str]:
+        def digest(codes: np.ndarray, own: list[tuple[int, str, bytes]]) -> tuple[int, str, str]:
             """How many ids, and the hashes of the ids and of what they decode to, one word's pieces after the other's."""
             listed = codes.tolist()
             if not own:
                 text, raw, n = map(shown.__getitem__, listed), map(back.__getitem__, listed), many[codes].sum()
             else:
-                told, bits = [" ".join(map(str, x)) for x in own], [joined(x, pieces) for x in own]
-                text, raw = [shown[c] if c < n_head else told[c - n_head] for c in listed], [back[c] if c < n_head else bits[c - n_head] for c in listed]
-                n = many[codes[codes < n_head]].sum() + sum(len(own[c - n_head]) for c in listed if c >= n_head)
+                text = [shown[c] if c < n_head else own[c - n_head][1] for c in listed]
+                raw = [back[c] if c < n_head else own[c - n_head][2] for c in listed]
+                n = many[codes[codes < n_head]].sum() + sum(own[c - n_head][0] for c in listed if c >= n_head)
             return int(n), hashlib.sha256(" ".join(text).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()
 
         def ids_of(codes: np.ndarray, own: list[list[int]]) -> np.ndarray:
@@ -325,8 +323,26 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
 
         for batch in batches:
             codes_at, codes_all = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
-            rest, folded = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            each = ((codes_all[codes_at[k] : codes_at[k + 1]], own_words(rest[k], folded[k])) for k in range(batch.num_rows))
+            docs_at, words = batch.column(3).offsets.to_numpy().tolist(), batch.column(3).values
+            ids_at, ids = words.offsets.to_numpy().tolist(), words.values.to_numpy().tolist()
+            long = {w: merge_long(joined(batch.column(2).values[w].as_py(), pieces), by_bytes) for w in np.nonzero(words.is_null().to_numpy(zero_copy_only=False))[0].tolist()} if words.null_count else {}
+            if digests:
+                shown_ids, back_ids = list(map(names.__getitem__, ids)), list(map(pieces.__getitem__, ids))
+
+            def own_of(k: int) -> list:
+                """The words outside of the head of one text: their ids, or how many, shown and decoded."""
+                out = []
+                for w in range(docs_at[k], docs_at[k + 1]):
+                    a, b = ids_at[w], ids_at[w + 1]
+                    if not digests:
+                        out.append(long[w] if w in long else ids[a:b])
+                    elif w in long:
+                        out.append((len(long[w]), " ".join(map(names.__getitem__, long[w])), joined(long[w], pieces)))
+                    else:
+                        out.append((b - a, " ".join(shown_ids[a:b]), b"".join(back_ids[a:b])))
+                return out
+
+            each = ((codes_all[codes_at[k] : codes_at[k + 1]], own_of(k)) for k in range(batch.num_rows))
             if digests:
                 n, sha, decoded = zip(*(digest(*x) for x in each), strict=True) if batch.num_rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
