@@ -39,7 +39,7 @@ SAMPLE = (4000, 2500)
 #: Pairs of dictionaries: bytes of each, and whether the windows it is trained on are shuffled.
 PAIRS = ((8192, False), (8192, True), (16384, True))
 #: COVER's segment and d-mer sizes, the compression level, blanks on either side of a window, its characters at most.
-SEGMENT, DMER, LEVEL, BLANKS, WIDTH = 16, 8, 19, 3, 24
+SEGMENT, DMER, LEVEL, BLANKS, WIDTH = 16, 8, 12, 3, 24
 #: A cell counts from this log odds and as many toxic documents on; the sum of a text's weights is squashed at ``FULL``.
 ODDS, SEEN, FULL = 1.0, 3, 30.0
 CACHE = 400_000

@@ -523,7 +523,7 @@ def test_scores_by_brute_force():
 
     def length(content, raw):
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        return len(zstandard.ZstdCompressor(level=19, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw))
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw))
 
     for t, _ in texts[:6]:
         x, words = [], re.findall(r"[^\W_]{1,24}", t.lower())
