@@ -28,6 +28,19 @@ def box_lookup(extracted: DataFrame, detected: DataFrame) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+def png_size(content: Column) -> Column:
+    """``struct<width,height>`` from a PNG's header, null for other bytes."""
+    number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")
+    size = F.struct(number(17).alias("width"), number(21).alias("height"))
+    return F.when((F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A") & (F.octet_length(content) >= 24), size)
+
+
+def measured(images: DataFrame) -> DataFrame:
+    """Images (content) with the ``width`` and ``height`` that they have, the usual ones where that can't be told."""
+    size = images.withColumn("_s", png_size(F.col("content")))
+    return sizes(size.withColumns({"width": F.col("_s.width"), "height": F.col("_s.height")}).drop("_s"))
+
+
 def sizes(images: DataFrame) -> DataFrame:
     return images.withColumns({"width": F.coalesce("width", F.lit(DEFAULT_SIZE[0])), "height": F.coalesce("height", F.lit(DEFAULT_SIZE[1]))})
 

@@ -97,4 +97,5 @@ def side_by_side(runs: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def config_keys(runs: DataFrame) -> DataFrame:
-    return runs.select("key").distinct()
+    """The keys of all runs, in order."""
+    return runs.select("key").distinct().orderBy("key")

@@ -138,12 +138,19 @@ def _outcome(pages: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").alias("name"), F.coalesce("success", F.lit(True)).alias("success"), "error")
 
 
-def build(spark: SparkSession, annotations: str, extractions: str | None, out: str, name: str = "benchmark", version: str = "1.0") -> DataFrame:
-    """The manifest of annotation files, below ``out``; an error without any. Extractions are matched by their PDF's name."""
+def build(spark: SparkSession, annotations: str, extractions: str | None, out: str, name: str = "benchmark", version: str = "1.0", copy_to: str | None = None) -> DataFrame:
+    """The manifest of annotation files, below ``out``; an error without any. Extractions are matched by their PDF's name.
+
+    ``copy_to`` is a folder that gets a copy of every annotation and extraction, by document.
+    """
     told = readers.annotations(spark, annotations).select(F.col("pdf_name").alias("doc_id"), stem(F.col("pdf_name")).alias("pdf_name"), "annotator", F.xxhash64("path").alias("ord"))
     if not told.head(1):
         raise ValueError(f"no annotations in {annotations}")
     has = readers.extractions(spark, extractions).select(F.col("pdf_name").alias("doc_id")).distinct() if extractions else told.select("doc_id").limit(0)
+    if copy_to:
+        per_document(readers.annotations(spark, annotations).drop("path"), f"{copy_to}/annotations")
+        if extractions:
+            per_document(readers.extractions(spark, extractions).drop("path"), f"{copy_to}/extractions")
     rows = manifest.build(told, has, name, version)
     whole = rows.groupBy(F.col("dataset").alias("name"), "version", "annotator").agg(F.sort_array(F.collect_list(F.struct(F.col("name"), "annotation_path", "extraction_path"))).alias("documents"))
     writers.write_json(whole.select("name", "version", "annotator", iso_time().alias("created_at"), "documents"), out, mode="overwrite")

@@ -66,6 +66,25 @@ class StubModel:
         return '{"matches": [{"figure_id": 1, "figure_type": "figure", "caption_id": 1, "confidence": 0.9}], "unmatched_captions": []}'
 
 
+class FolderStore:
+    """Keeps files below a folder that all executors share."""
+
+    def __init__(self, root: str) -> None:
+        self.root = root
+
+    def prepare(self) -> None:
+        import os
+
+        os.makedirs(self.root, exist_ok=True)
+
+    def put(self, path: str, content: bytes) -> None:
+        import os
+
+        os.makedirs(os.path.dirname(f"{self.root}/{path}"), exist_ok=True)
+        with open(f"{self.root}/{path}", "wb") as f:
+            f.write(content)
+
+
 def rasterise(files: DataFrame, source: PageSource) -> DataFrame:
     """Pages of files (name, content); a file that fails gives one row whose status is its error."""
 
@@ -149,7 +168,11 @@ def ask(pages: DataFrame, model: Model, callers: int | None = None, tries: int =
 
 
 def upload(files: DataFrame, store: Store) -> None:
-    """Put files (path, content) in a store; putting one again replaces it, so a retried task does no harm."""
+    """Put files (path, content) in a store; putting one again replaces it, so a retried task does no harm.
+
+    A store that has ``prepare`` is told first, on the driver, so that it can make its folder or bucket.
+    """
+    getattr(store, "prepare", lambda: None)()
 
     def run(rows) -> None:
         for r in rows:

@@ -100,7 +100,8 @@ def test_benchmark_and_reports(spark, done, tmp_path):
     out, run = done
     pages = spark.read.parquet(f"{out}/pages").where("status = 'success'")
     runs.annotate_detected(pages, run.detections, Model(), str(tmp_path))
-    rows = runs.build(spark, f"{tmp_path}/annotations/*/", f"{out}/extractions/*/", f"{tmp_path}/manifest")
+    rows = runs.build(spark, f"{tmp_path}/annotations/*/", f"{out}/extractions/*/", f"{tmp_path}/manifest", copy_to=f"{tmp_path}/copy")
+    assert readers.annotations(spark, f"{tmp_path}/copy/annotations/*/").count() == 2 and readers.predicted(readers.extractions(spark, f"{tmp_path}/copy/extractions/*/")).count() == 6
     assert sorted((r["name"], r["extraction_path"]) for r in rows.collect()) == [("a", "extractions/a.json"), ("b", "extractions/b.json")]
     assert readers.manifests(spark, f"{tmp_path}/manifest").count() == 2
     truth = readers.ground_truth(readers.annotations(spark, f"{tmp_path}/annotations/*/"))
@@ -147,6 +148,18 @@ def test_edges(spark):
     assert [r["label"] for r in labels.kind_legend(spark, {"figure": 2}).orderBy("y").collect()] == ["Figure (2)", "Table", "Caption"]
 
 
+def test_store_and_sizes(spark, tmp_path):
+    import struct
+
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480) + b"rest"
+    images = spark.createDataFrame([("a/1.png", bytearray(png)), ("b.png", bytearray(b"no")), ("c.png", None)], "path string, content binary")
+    from pagewright.operators import export
+
+    assert {(r["path"], r["width"], r["height"]) for r in export.measured(images).collect()} == {("a/1.png", 640, 480), ("b.png", *export.DEFAULT_SIZE), ("c.png", *export.DEFAULT_SIZE)}
+    backends.upload(images.where("content is not null"), backends.FolderStore(str(tmp_path / "store")))
+    assert (tmp_path / "store" / "a" / "1.png").read_bytes() == png
+
+
 def test_expand(spark, tmp_path):
     for n in ("b", "a"):
         (tmp_path / n).mkdir()
