@@ -157,6 +157,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     members = members.withColumn("i", F.row_number().over(by_code)).where(F.col("i") <= k).drop("i")
     chunks = scratch.keep(packed(members, CHUNK, "vec_id"))
     kind = vectors.schema[id_col].dataType.simpleString()
+    all_ = min(k, chunks.agg(F.sum(F.size("vec_ids"))).first()[0] or 0)
     active = scratch.keep(asked.select("q").distinct().withColumn("bound", F.lit(BITS * words)))
     found = spark.createDataFrame([], f"q array<bigint>, vec_id {kind}, d int")
 
@@ -177,7 +178,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
         return run
 
-    for radius in range(WIDTH + 1):
+    for radius in range(WIDTH + 1 if all_ else 0):
         blocks = scratch.keep(packed(active.select(F.col("q").alias("code"), "bound"), BLOCK, "bound"))
         if not blocks.head(1):
             break
@@ -186,7 +187,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         ranked = Window.partitionBy("q").orderBy("d", "vec_id")
         found = scratch.keep(found.unionByName(met).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).drop("rank"))
         # A query's bound: the distance of its k-th row so far.
-        reached = found.groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("kth")).where(F.col("n") >= k)
+        reached = found.groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("kth")).where(F.col("n") >= all_)
         left = active.drop("bound").join(reached, "q", "left").where(F.col("kth").isNull() | (F.col("kth") > segments * radius + segments - 1))
         active = scratch.keep(left.select("q", F.coalesce("kth", F.lit(BITS * words)).alias("bound")))
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id")))
