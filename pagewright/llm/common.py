@@ -107,6 +107,13 @@ class Scratch:
         self.made[id(back)] = path
         return back
 
+    def discard(self, *frames: DataFrame) -> None:
+        """Delete these tables, as ``keep`` returned them."""
+        gone = [self.made[id(f)] for f in frames]
+        stay = [p for p in self.paths if p not in gone]
+        self.paths = gone + stay
+        self.drop(last=len(stay))
+
     def drop_all_but(self, *frames: DataFrame) -> None:
         """Delete all tables but these, as ``keep`` returned them."""
         stay = [self.made[id(f)] for f in frames]

@@ -245,14 +245,16 @@ def near_by_parts(active: DataFrame, scratch: Scratch, edits: int, parts: int, p
     near = scratch.keep(active.select("h1", "h2").limit(0))
     for depth in range(DEPTH):
         cut = parts if depth == 0 else max(FEW_PARTS, edits + 2)
-        keyed = scratch.keep(remainders(rows, edits, cut).distinct())
-        keyed = scratch.keep(keyed.join(shared_keys(keyed), "key", "left_semi").join(place, ["h1", "h2"]))
+        every = scratch.keep(remainders(rows, edits, cut).distinct())
+        keyed = scratch.keep(every.join(shared_keys(every), "key", "left_semi").join(place, ["h1", "h2"]))
+        scratch.discard(every)
         groups = keyed.groupBy("key").agg(F.min(F.struct("at", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("sig").alias("sig2"))).alias("least"), F.count("*").alias("n"))
         groups = scratch.keep(groups.select("key", F.col("least.at").alias("to"), "least.g1", "least.g2", "least.sig2", "n"))
-        with_first = hot_join(keyed, groups, ["key"], "n")
-        near = scratch.keep(near.unionByName(verified(with_first.where("to < at").where(may).select("h1", "h2", "g1", "g2"))).distinct())
+        with_first = scratch.keep(hot_join(keyed, groups, ["key"], "n").where("to < at"))
+        near = scratch.keep(near.unionByName(verified(with_first.where(may).select("h1", "h2", "g1", "g2"))).distinct())
         # What is left: lines that are not the earliest of a group and not near it.
-        left = scratch.keep(with_first.where("to < at").join(near, ["h1", "h2"], "left_anti").select("key", "h1", "h2", "at", "sig", "n"))
+        left = scratch.keep(with_first.join(near, ["h1", "h2"], "left_anti").select("key", "h1", "h2", "at", "sig", "n"))
+        scratch.discard(with_first, groups)
         most = F.lit(GROUP) if depth < DEPTH - 1 else F.col("n")
         other = keyed.join(left.where(F.col("n") <= most).select("key").distinct(), "key", "left_semi").select("key", F.col("at").alias("to"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("sig").alias("sig2"))
         pairs = left.where(F.col("n") <= most).join(other, "key").where("to < at").where(may).select("h1", "h2", "g1", "g2")
@@ -260,6 +262,7 @@ def near_by_parts(active: DataFrame, scratch: Scratch, edits: int, parts: int, p
         large = left.where(F.col("n") > most).join(near, ["h1", "h2"], "left_anti").select("key").distinct()
         wanted = keyed.join(large, "key", "left_semi").groupBy("h1", "h2").agg(F.collect_set("key").alias("wanted"))
         rows = scratch.keep(narrowed(rows.join(wanted, ["h1", "h2"]), edits, cut).distinct())
+        scratch.discard(keyed, left)
         if not rows.head(1):
             break
     return near
@@ -292,7 +295,8 @@ def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch, edits: int,
         return near_by_parts(active, scratch, edits, max(PARTS, edits + 1), per)
     keyed = active.select("h1", "h2", F.explode(all_but_a_part(F.col("line"))).alias("key"))
     close = keyed.join(shared_keys(keyed), "key", "left_semi").select("h1", "h2").distinct()
-    active = scratch.keep(active.join(close, ["h1", "h2"]))
+    first, active = active, scratch.keep(active.join(close, ["h1", "h2"]))
+    scratch.discard(first)
     found = scratch.keep(variants(active))
     order = F.struct("doc_id", "pos")
     by_place, by_variant, whole = (found.where(F.col("role") == k).select("key", order.alias("at")) for k in range(3))
@@ -317,11 +321,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prepare(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
     line = F.col("line")
-    marks = scratch.keep(places(docs, id_col, text_col).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), (halves(line) if edits == 1 else F.array().cast("array<bigint>")).alias("keys")))
-    firsts = scratch.keep(marks.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys")))
+    every = places(docs, id_col, text_col).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), (halves(line) if edits == 1 else F.array().cast("array<bigint>")).alias("keys"))
+    marks = scratch.keep(every.drop("keys"))
+    firsts = scratch.keep(every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys")))
     near = near_lines(firsts, docs, scratch, edits, per, id_col, text_col)
     gone = scratch.keep(firsts.select("h1", "h2", "first", "n").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", "n", F.coalesce("near", F.lit(False)).alias("near")))
-    held = hot_join(marks.select("doc_id", "pos", "h1", "h2"), gone, ["h1", "h2"], "n")
+    scratch.drop_all_but(marks, gone)
+    held = hot_join(marks, gone, ["h1", "h2"], "n")
     again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")))
     held = held.where(again | F.col("near")).select("doc_id", "pos", again.alias("again"))
     return held.groupBy("doc_id").agg(F.collect_set(F.when(F.col("again"), F.col("pos"))).alias("exact"), F.collect_set(F.when(~F.col("again"), F.col("pos"))).alias("near"))
