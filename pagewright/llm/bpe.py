@@ -24,6 +24,7 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,9 +68,9 @@ def splitter(pattern: str):
     general = regex.compile(pattern)
     if pattern != r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""":
         return general.findall
-    plain = re.compile(f" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:[stmd]|re|ve|ll)| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-    other = re.compile("[^\x00-ɏ]")
-    return lambda text: (general if other.search(text) else plain).findall(text)
+    plain = re.compile(f" ?[{LETTERS}]++| ?[{NUMBERS}]++|'(?:[stmd]|re|ve|ll)| ?[^{SPACES}{LETTERS}{NUMBERS}]++|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]++").findall
+    other = re.compile("[^\x00-ɏ]").search
+    return lambda text: plain(text) if text.isascii() or not other(text) else general.findall(text)
 
 
 def rank_table(ranks: dict[bytes, int]) -> list[int]:
@@ -281,12 +282,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
         for batch in batches:
             codes, ends, rest, upto = [], [0], [], [0]
             for text in batch.column(1).to_pylist():
-                got = list(map(known, found := split(text or "")))
-                if None in got:
-                    own: dict[str, int] = {}
-                    got = [n_head + own.setdefault(w, len(own)) if c is None else c for c, w in zip(got, found, strict=True)]
-                    rest += [w.encode() for w in own]
-                codes.append(np.array(got, np.int32))
+                found = split(text or "")
+                got = np.fromiter(map(known, found, repeat(-1)), np.int32, len(found))
+                own: dict[str, int] = {}
+                for at in np.nonzero(got < 0)[0].tolist():
+                    got[at] = n_head + own.setdefault(found[at], len(own))
+                rest += [w.encode() for w in own]
+                codes.append(got)
                 ends.append(ends[-1] + len(got))
                 upto.append(len(rest))
             flat = pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int32))
@@ -306,14 +308,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
 
         def digest(codes: np.ndarray, own: list[tuple[int, str, bytes]]) -> tuple[int, str, str]:
             """How many ids, and the hashes of the ids and of what they decode to, one word's pieces after the other's."""
-            listed = codes.tolist()
-            if not own:
-                text, raw, n = map(shown.__getitem__, listed), map(back.__getitem__, listed), many[codes].sum()
-            else:
-                text = [shown[c] if c < n_head else own[c - n_head][1] for c in listed]
-                raw = [back[c] if c < n_head else own[c - n_head][2] for c in listed]
-                n = many[codes[codes < n_head]].sum() + sum(own[c - n_head][0] for c in listed if c >= n_head)
-            return int(n), hashlib.sha256(" ".join(text).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()
+            listed, n = codes.tolist(), many[codes[codes < n_head]].sum()
+            if own:  # for this text, its own words stand in the tables behind the head
+                size, text, raw = zip(*own, strict=True)
+                shown.update(zip(range(n_head, n_head + len(own)), text, strict=True))
+                back.update(zip(range(n_head, n_head + len(own)), raw, strict=True))
+                n += np.array(size)[codes[codes >= n_head] - n_head].sum()
+            text, raw = " ".join(map(shown.__getitem__, listed)), b"".join(map(back.__getitem__, listed))
+            return int(n), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
         def ids_of(codes: np.ndarray, own: list[list[int]]) -> np.ndarray:
             if own:
