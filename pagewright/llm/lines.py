@@ -20,12 +20,13 @@ edit share their first or their last half, and all but one of eight parts; group
 which such remainders, more than one line has.
 
 With a larger bound k, variants would grow with the length to the power k. Two lines within k edits share one of k + 1
-parts, and all but k of ``parts`` parts, each moved by as many characters as the edits before it add or remove. Lines
-that share such a remainder are candidates, verified by edit distance: first each line against the earliest line of its
-remainders, then only the lines left over against the earlier ones, in groups of at most ``GROUP`` lines. In larger groups
-the touched parts, where alone the lines differ, are cut into parts in turn, so that groups shrink with each of ``DEPTH``
-levels; what is left there differs in a few characters. Candidates whose characters' parities differ in more bits than the
-edits can change are no candidates.
+parts, moved by as many characters as the edits before it add or remove. Lines that share one are candidates, verified by
+edit distance: first each line against the earliest line of its groups, then only the lines left over against the earlier
+ones, in groups of at most ``GROUP`` lines. Lines whose signatures, 128 parities of pairs of neighbouring characters, differ
+in more than 4 k bits are no candidates. So one of the two words of 64 bits differs in at most 2 k, and one of its 2 k + 1
+blocks in none; larger groups are split by these blocks. Lines of groups that are larger even so are told apart by all but
+k of ``parts`` parts; where groups of such remainders are large, the touched parts, where alone the lines differ, are cut
+into parts in turn, so that groups shrink with each of ``DEPTH`` levels; what is left there differs in a few characters.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import Scratch, hot_join, prepare, ship
+from pagewright.llm.simhash import block_keys
 
 ship(__name__)
 
@@ -47,8 +49,11 @@ ship(__name__)
 EDITS = 1
 #: Parts of a line, of which two lines within a larger bound share all but as many as there are edits.
 PARTS = 8
-#: Lines of a group that are compared with each other, levels of parts, and parts from the second level on.
-GROUP, DEPTH, FEW_PARTS = 64, 4, 4
+#: Lines of a group that are compared with each other, levels of parts, and parts from the second level on. Comparing the
+#: signatures of so many lines takes less than the hundreds of keys that each line has on a further level.
+GROUP, DEPTH, FEW_PARTS = 2048, 4, 4
+#: The two words of a line's signature (see ``pair_parities``).
+SIGS = ["sig1", "sig2"]
 #: Multiplier of the variant hash, odd so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 
@@ -224,16 +229,32 @@ def narrowed(rows: DataFrame, edits: int, parts: int) -> DataFrame:
     return rows.select("h1", "h2", "scope", "rest", "wanted").mapInArrow(run, "h1 long, h2 int, scope long, rest binary")
 
 
-def signature(line: Column) -> Column:
-    """64 bits, each the parity of the characters that hash to it; an edit changes two of them at most."""
-    bits = F.transform(F.split(line, ""), lambda c: F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)))
+def pair_parities(line: str) -> np.ndarray:
+    """128 bits as two signed numbers, each the parity of the pairs of neighbours that hash to it; an edit changes four of them at most."""
+    codes = np.append(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1), np.uint64(0))
+    with np.errstate(over="ignore"):
+        pairs = (codes[:-1] * np.uint64(BASE) + codes[1:]) * np.uint64(0xBF58476D1CE4E5B9)
+        pairs = (pairs ^ (pairs >> np.uint64(31))) * np.uint64(BASE)
+    odd = np.bincount((pairs >> np.uint64(57)).astype(np.int64), minlength=128) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def signed(active: DataFrame) -> DataFrame:
+    """(h1, h2, doc_id, pos, sig1, sig2): ``pair_parities`` of every line of ``active``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.array([pair_parities(line) for line in batch.column(4).to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], ["h1", "h2", "doc_id", "pos", "sig1", "sig2"])
+
+    return active.select("h1", "h2", "doc_id", "pos", "line").mapInArrow(run, f"h1 long, h2 int, doc_id {active.schema['doc_id'].dataType.simpleString()}, pos int, sig1 long, sig2 long")
 
 
 def near_by_parts(active: DataFrame, scratch: Scratch, edits: int, parts: int, per: int) -> DataFrame:
     """(h1, h2) of the lines of ``active`` (doc_id, pos, line, h1, h2) that are within ``edits`` edits of an earlier one."""
-    place = scratch.keep(active.select("h1", "h2", F.struct("doc_id", "pos").alias("at"), signature(F.col("line")).alias("sig")))
-    may = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig2"))) <= 2 * edits
+    place = scratch.keep(signed(active).select("h1", "h2", F.struct("doc_id", "pos").alias("at"), F.struct(*SIGS).alias("sig")))
+    apart = [F.bit_count(F.col(f"sig.{c}").bitwiseXOR(F.col(f"sig_to.{c}"))) for c in SIGS]
+    may = apart[0] + apart[1] <= 4 * edits
     ours = active.select("h1", "h2", F.col("line").alias("mine"))
     theirs = active.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("theirs"))
 
@@ -241,30 +262,51 @@ def near_by_parts(active: DataFrame, scratch: Scratch, edits: int, parts: int, p
         joined = pairs.distinct().join(ours, ["h1", "h2"]).join(theirs, ["g1", "g2"])
         return joined.where(within(F.col("mine"), F.col("theirs"), edits, per)).select("h1", "h2").distinct()
 
-    rows = active.select("h1", "h2", F.lit(0).cast("bigint").alias("scope"), F.col("line").cast("binary").alias("rest"))
     near = scratch.keep(active.select("h1", "h2").limit(0))
-    for depth in range(DEPTH):
-        cut = parts if depth == 0 else max(FEW_PARTS, edits + 2)
-        every = scratch.keep(remainders(rows, edits, cut).distinct())
+
+    def settle(keys: DataFrame, most: Column) -> tuple[DataFrame, DataFrame]:
+        """Compare the lines that share one of the keys (h1, h2, key), in groups of at most ``most`` lines.
+
+        Returns the shared keys with the lines' places, and the keys of the larger groups that hold lines not yet near.
+        """
+        nonlocal near
+        every = scratch.keep(keys)
         keyed = scratch.keep(every.join(shared_keys(every), "key", "left_semi").join(place, ["h1", "h2"]))
         scratch.discard(every)
-        groups = keyed.groupBy("key").agg(F.min(F.struct("at", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("sig").alias("sig2"))).alias("least"), F.count("*").alias("n"))
-        groups = scratch.keep(groups.select("key", F.col("least.at").alias("to"), "least.g1", "least.g2", "least.sig2", "n"))
+        groups = keyed.groupBy("key").agg(F.min(F.struct("at", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("sig").alias("sig_to"))).alias("least"), F.count("*").alias("n"))
+        groups = scratch.keep(groups.select("key", F.col("least.at").alias("to"), "least.g1", "least.g2", "least.sig_to", "n"))
         with_first = scratch.keep(hot_join(keyed, groups, ["key"], "n").where("to < at"))
         near = scratch.keep(near.unionByName(verified(with_first.where(may).select("h1", "h2", "g1", "g2"))).distinct())
         # What is left: lines that are not the earliest of a group and not near it.
         left = scratch.keep(with_first.join(near, ["h1", "h2"], "left_anti").select("key", "h1", "h2", "at", "sig", "n"))
         scratch.discard(with_first, groups)
-        most = F.lit(GROUP) if depth < DEPTH - 1 else F.col("n")
-        other = keyed.join(left.where(F.col("n") <= most).select("key").distinct(), "key", "left_semi").select("key", F.col("at").alias("to"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("sig").alias("sig2"))
+        other = keyed.join(left.where(F.col("n") <= most).select("key").distinct(), "key", "left_semi").select("key", F.col("at").alias("to"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("sig").alias("sig_to"))
         pairs = left.where(F.col("n") <= most).join(other, "key").where("to < at").where(may).select("h1", "h2", "g1", "g2")
         near = scratch.keep(near.unionByName(verified(pairs)).distinct())
-        large = left.where(F.col("n") > most).join(near, ["h1", "h2"], "left_anti").select("key").distinct()
+        large = scratch.keep(left.where(F.col("n") > most).join(near, ["h1", "h2"], "left_anti").select("key").distinct())
+        scratch.discard(left)
+        return keyed, large
+
+    most = F.lit(GROUP)
+    keyed, large = settle(active.select("h1", "h2", F.explode(F.array_distinct(a_part(F.col("line"), edits))).alias("key")), most)
+    if not large.head(1):
+        return near
+    blocks = F.concat(*[F.transform(block_keys(F.col(f"sig.{c}"), 2 * edits, 1), lambda b, k=k: F.xxhash64("key", F.lit(k), b)) for k, c in enumerate(SIGS)])
+    first, (keyed, large) = keyed, settle(keyed.join(large, "key", "left_semi").select("h1", "h2", F.explode(blocks).alias("key")), most)
+    scratch.discard(first)
+    if not large.head(1):
+        return near
+    rows = active.join(keyed.join(large, "key", "left_semi").select("h1", "h2").distinct(), ["h1", "h2"])
+    rows = scratch.keep(rows.select("h1", "h2", F.lit(0).cast("bigint").alias("scope"), F.col("line").cast("binary").alias("rest")))
+    scratch.discard(keyed)
+    for depth in range(DEPTH):
+        cut = parts if depth == 0 else max(FEW_PARTS, edits + 2)
+        keyed, large = settle(remainders(rows, edits, cut).distinct(), most if depth < DEPTH - 1 else F.col("n"))
+        if not large.head(1):
+            break
         wanted = keyed.join(large, "key", "left_semi").groupBy("h1", "h2").agg(F.collect_set("key").alias("wanted"))
         rows = scratch.keep(narrowed(rows.join(wanted, ["h1", "h2"]), edits, cut).distinct())
-        scratch.discard(keyed, left)
-        if not rows.head(1):
-            break
+        scratch.discard(keyed)
     return near
 
 

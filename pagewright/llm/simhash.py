@@ -84,8 +84,12 @@ def near(a: Column, b: Column, distance: int) -> Column:
 
 
 def blocks_for(n: int) -> int:
-    """How many blocks a key has: more for more fingerprints, so that few meet by chance. The result is the same."""
-    return 2 if n < 1 << 22 else 3 if n < 1 << 28 else 4
+    """How many blocks a key has: more for more fingerprints, so that few meet by chance. The result is the same.
+
+    Up to a bound, the rows that meet by chance grow with the square of ``n``, so a step is made while a key of so many
+    bits is shared by chance with less than a quarter of a node.
+    """
+    return 2 if n < 1 << 19 else 3 if n < 1 << 25 else 4
 
 
 def link(nodes: DataFrame, scratch: Scratch, distance: int = DISTANCE, same: int | None = None) -> DataFrame:

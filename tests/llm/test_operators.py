@@ -124,6 +124,34 @@ def test_lines_more_edits(spark, edits, per, group, monkeypatch):
     assert {x["doc_id"]: x["text"] for x in got.collect()} == want and len({x for x in want.values() if x}) > 3
 
 
+def test_lines_of_one_template(spark, monkeypatch):
+    """Lines that differ in one long word are told apart by their signatures: no table has hundreds of rows a line."""
+    r, held, keep = random.Random(5), [], Scratch.keep
+    words = ["".join(r.choice("abcdefghij") for _ in range(12)) for _ in range(200)]
+    rows = [(k, f"The first part of the line is the same in all of them, {w} is not, and neither is the end of the line another.") for k, w in enumerate([*words, "x" + words[7][1:]])]
+
+    def kept(self, df):
+        back = keep(self, df)
+        held.append(back.count())
+        return back
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), edits=2, per=4)
+    assert [x["doc_id"] for x in got.where("text = ''").collect()] == [200]
+    assert max(held) <= 20 * len(rows)
+
+
+def test_an_edit_changes_four_parities():
+    r = random.Random(6)
+    for _ in range(300):
+        line = now = "".join(r.choice("abé \U0001f600") for _ in range(r.randint(1, 30)))
+        for edits in range(1, 4):
+            at = r.randrange(len(now) + 1)
+            now = now[:at] + r.choice(("", "z", "a")) + now[at + r.randint(0, 1) :]
+            if now:
+                assert sum((int(a ^ b) % (1 << 64)).bit_count() for a, b in zip(lines.pair_parities(line), lines.pair_parities(now), strict=True)) <= 4 * edits
+
+
 def test_lines_odd(odd):
     got = lines.dedup_lines(odd)
     assert got.columns == [*odd.columns, "line_stats"] and got.count() == odd.count()
@@ -250,6 +278,12 @@ def test_links_brute_force(spark, same):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+@pytest.mark.parametrize("n", [300_000, 3_000_000, 15_000_000])
+def test_keys_are_seldom_shared_by_chance(n):
+    same = simhash.blocks_for(n)
+    assert n / 2 ** (64 * same / (simhash.DISTANCE + same)) < 0.25
+
+
 def test_components_of_a_path(spark):
     got = components(spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (5, 5)], "a long, b long"), Scratch(spark, "test"))
     assert {(r["node"], r["root"]) for r in got.collect()} == {(k, 0) for k in range(61)} | {(100, 100), (101, 100)}
