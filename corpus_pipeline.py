@@ -75,10 +75,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
-    scratch = Scratch(spark, "pipeline")
+    scratch, others = Scratch(spark, "pipeline"), [*Scratch.left.values()]  # what others wrote may still be read
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir))
         scratch.drop(last=1)
-        sweep(but=scratch)
+        sweep(scratch, *others)
     return STAGES[-1][1](spark, docs, sf_dir)

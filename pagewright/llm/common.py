@@ -130,10 +130,10 @@ class Scratch:
             Scratch.left.pop(self.root, None)
 
 
-def sweep(but: Scratch | None = None) -> None:
+def sweep(*but: Scratch) -> None:
     """Drop every scratch table of this process but those of ``but``; no result that still reads one may be in use."""
     for scratch in list(Scratch.left.values()):
-        if scratch is not but:
+        if scratch not in but:
             scratch.drop()
 
 
