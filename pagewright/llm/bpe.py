@@ -1,7 +1,7 @@
 """Byte-level BPE: ranked merges folded over the byte arrays of distinct words, and decoding.
 
 A text is split into words by the tokenizer's pattern. The merges of a word are a fold by Spark
-higher-order functions (`merge_fold`) over its bytes; the ranks are a literal inside the plan.
+higher-order functions (`merge_fold`) over its bytes; the ranks are a scalar subquery of the plan.
 
 Words follow Zipf's law, so the work is divided by frequency:
 
@@ -29,6 +29,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -73,7 +74,7 @@ def splitter(pattern: str):
     return lambda text: plain(text) if text.isascii() or not other(text) else general.findall(text)
 
 
-def rank_table(ranks: dict[bytes, int]) -> list[int]:
+def rank_table(ranks: dict[bytes, int]) -> np.ndarray:
     """The rank map of pairs of pieces as a cuckoo hash table, so that a search looks at two places.
 
     A pair of pieces ``a, b`` has the key ``a << ID_BITS | b``; its entry is the key and the rank of the bytes of both. It stands
@@ -96,12 +97,23 @@ def rank_table(ranks: dict[bytes, int]) -> list[int]:
                     break
             else:
                 raise ValueError("too many pairs for the rank map")
-    return table
+    return np.array(table, np.int64)
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """``rank_table`` as one literal."""
-    return F.from_json(F.lit(f"[{','.join(map(str, rank_table(ranks)))}]"), "array<bigint>")
+def with_ranks(df: DataFrame, told: Broadcast) -> DataFrame:
+    """``df`` with ``rank_table``, broadcast as an array, as the column ``ranks``.
+
+    It is a scalar subquery, so that no plan, nor its text, holds half a million numbers. Used once by the next projection,
+    it is folded into that, and no row gets a copy.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                table = told.value
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), pa.array(table))], ["ranks"])
+
+    return df.withColumn("ranks", df.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "ranks array<bigint>").scalar())
 
 
 def rank_of(ranks: Column, a: Column, b: Column) -> Column:
@@ -123,7 +135,7 @@ def merge_fold(word: Column, ranks: Column) -> Column:
     The fold carries one number for each piece: the rank of its pair with the next piece, its place and its id, from
     high bits to low. The lowest number is so the leftmost pair of the lowest rank, and that rank is the id of the
     merged piece; a step merges it and ranks anew the two pairs that the merged piece is in. ``ranks`` should be a
-    lambda variable (see ``let``), so that the literal stands in the plan once.
+    lambda variable (see ``let``), so that the subquery stands in the plan once.
     """
     size, none = F.size(word), F.array().cast("array<bigint>")
     mask = lambda bits: F.lit((1 << bits) - 1)
@@ -205,7 +217,7 @@ def byte_lists(words: list[bytes], ranks: dict[bytes, int]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(single[np.frombuffer(b"".join(words), np.uint8)]))
 
 
-def build_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, text_col: str = "text") -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def build_head(docs: DataFrame, ranks: dict[bytes, int], table: Broadcast, pattern: str, head: int = HEAD, text_col: str = "text") -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Frequent words (at most ``head``), where the ids of each begin (one place more than words), and all their ids.
 
     Words are in the head from a least count on. A histogram of counts, with a few hundred classes at most, gives the
@@ -229,7 +241,7 @@ def build_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int
             yield pa.RecordBatch.from_arrays([batch.column(0), byte_lists([w.encode() for w in batch.column(0).to_pylist()], known.value)], ["word", "bytes"])
 
     spelt = top.select("word").repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(spell, "word string, bytes array<bigint>")
-    rows = spelt.select("word", let(rank_literal(ranks), lambda r: merge_fold(F.col("bytes"), r)).cast("array<int>").alias("ids")).toArrow()
+    rows = with_ranks(spelt, table).select("word", let(F.col("ranks"), lambda r: merge_fold(F.col("bytes"), r)).cast("array<int>").alias("ids")).toArrow()
     scratch.drop()
     words, ids = rows["word"].combine_chunks(), rows["ids"].combine_chunks()
     del rows
@@ -264,7 +276,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    words, starts, flat = build_head(docs, ranks, pattern, head)
+    table = share(spark, rank_table(ranks))
+    words, starts, flat = build_head(docs, ranks, table, pattern, head)
     n_head = len(words)
     # What a worker makes of these once, for all of its tasks, is put beside them.
     told = share(spark, {"words": words})
@@ -353,11 +366,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
                 ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))], ["doc_id", "ids"])
 
-    lit = rank_literal(ranks)
     kind = whole.simpleString()
     coded = docs.mapInArrow(places, f"doc_id {kind}, codes array<int>, rest array<array<bigint>>")
-    folded = F.when(F.size("rest") == 0, F.array().cast("array<array<bigint>>")).otherwise(let(lit, lambda r: F.transform("rest", lambda w: F.when(F.size(w) <= FOLD_BYTES, merge_fold(w, r)))))
-    return coded.withColumn("folded", folded).mapInArrow(finish, f"doc_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"))
+    folded = F.when(F.size("rest") == 0, F.array().cast("array<array<bigint>>")).otherwise(let(F.col("ranks"), lambda r: F.transform("rest", lambda w: F.when(F.size(w) <= FOLD_BYTES, merge_fold(w, r)))))
+    return with_ranks(coded, table).select("doc_id", "codes", "rest", folded.alias("folded")).mapInArrow(finish, f"doc_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:

@@ -186,6 +186,12 @@ def test_bpe(docs, odd, tok, head):
         assert bpe.encode(both.limit(0), ranks, pattern).count() == 0
 
 
+def test_no_plan_holds_the_ranks(docs, tok):
+    plan = bpe.encode(docs, tok[0], tok[1], digests=True)._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("scalar-subquery") == 1  # used in place, by no projection of its own that would copy it into rows
+    assert sum(len(plan.apply(k).expressions().toString()) for k in range(3)) < 100_000
+
+
 def test_decode_shares_its_routine(spark):
     ranks = {bytes([c]): c for c in range(256)}
     assert bpe.joined([104, 105], bpe.pieces_of(ranks)) == b"hi"
