@@ -45,8 +45,8 @@ FOLD_BYTES = 1024
 #: Bits of an id or rank, and of a place in a word, in the numbers that the fold carries. No rank reaches ``NONE``.
 ID_BITS, PLACE_BITS = 18, 27
 NONE = (1 << ID_BITS) - 1
-#: Sizes of the two halves of the literal rank map, primes.
-HALVES = (200_003, 299_993)
+#: Sizes of the two halves of the rank map, primes, and what stands at its free places: more than any key.
+HALVES, FREE = (200_003, 299_993), 1 << 62
 
 # The letters, numbers and white space below U+0250.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -77,11 +77,11 @@ def splitter(pattern: str):
 def rank_table(ranks: dict[bytes, int]) -> np.ndarray:
     """The rank map of pairs of pieces as a cuckoo hash table, so that a search looks at two places.
 
-    A pair of pieces ``a, b`` has the key ``a << ID_BITS | b``; its entry is the key and the rank of the bytes of both. It stands
-    at ``key % HALVES[0]`` of the first half or ``key % HALVES[1]`` of the second; free places have -1.
+    A pair of pieces ``a, b`` has the key ``(a << ID_BITS | b) << ID_BITS``; its entry is the key plus the rank of the bytes of
+    both. It stands at ``key % HALVES[0]`` of the first half or ``key % HALVES[1]`` of the second; free places have ``FREE``.
     """
     one, two = HALVES
-    table = [-1] * (one + two)
+    table = [FREE] * (one + two)
     if max(ranks.values(), default=0) >= NONE:
         raise ValueError(f"ranks must be under {NONE}")
     for piece, rank in ranks.items():
@@ -90,10 +90,10 @@ def rank_table(ranks: dict[bytes, int]) -> np.ndarray:
                 continue
             entry, at = (a << ID_BITS | b) << ID_BITS | rank, -1
             for _ in range(500):
-                key = entry >> ID_BITS
+                key = entry & ~NONE
                 at = key % one if at != key % one else one + key % two
                 table[at], entry = entry, table[at]
-                if entry < 0:
+                if entry == FREE:
                     break
             else:
                 raise ValueError("too many pairs for the rank map")
@@ -116,12 +116,14 @@ def with_ranks(df: DataFrame, told: Broadcast) -> DataFrame:
     return df.withColumn("ranks", df.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "ranks array<bigint>").scalar())
 
 
-def rank_of(ranks: Column, a: Column, b: Column) -> Column:
-    """Rank of two pieces given by id, or ``NONE``."""
-    key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
-    first = F.get(ranks, (key % HALVES[0]).cast("int"))
-    second = F.get(ranks, (key % HALVES[1] + HALVES[0]).cast("int"))
-    return F.when(F.shiftright(first, ID_BITS) == key, first.bitwiseAND(F.lit(NONE))).when(F.shiftright(second, ID_BITS) == key, second.bitwiseAND(F.lit(NONE))).otherwise(F.lit(NONE).cast("bigint"))
+def rank_of(ranks: Column, key: Column) -> Column:
+    """Rank of two pieces by their key, or ``NONE``, also if the key is null.
+
+    An entry of another key, or none, differs from this key in a higher bit than a rank has.
+    """
+    first = F.get(ranks, (key % HALVES[0]).cast("int")).bitwiseXOR(key)
+    second = F.get(ranks, (key % HALVES[1] + HALVES[0]).cast("int")).bitwiseXOR(key)
+    return F.least(first, second, F.lit(NONE).cast("bigint"))
 
 
 def let(value: Column, body) -> Column:
@@ -130,38 +132,34 @@ def let(value: Column, body) -> Column:
 
 
 def merge_fold(word: Column, ranks: Column) -> Column:
-    """``array<bigint>``: the ids of a word, given as the ids of its bytes (``array<bigint>``).
+    """``array<bigint>``: the pieces of a word, given as those of its bytes (see ``byte_lists``); ``id_of`` tells their ids.
 
     The fold carries one number for each piece: the rank of its pair with the next piece, its place and its id, from
     high bits to low. The lowest number is so the leftmost pair of the lowest rank, and that rank is the id of the
     merged piece; a step merges it and ranks anew the two pairs that the merged piece is in. ``ranks`` should be a
     lambda variable (see ``let``), so that the subquery stands in the plan once.
     """
-    size, none = F.size(word), F.array().cast("array<bigint>")
-    mask = lambda bits: F.lit((1 << bits) - 1)
-    id_of = lambda v: v.bitwiseAND(mask(ID_BITS))
+    size = F.size(word)
     low = ID_BITS + PLACE_BITS
-
-    def packed(rank: Column, rest: Column) -> Column:
-        return F.shiftleft(rank, low).bitwiseOR(rest)
+    rest_of = lambda v: v.bitwiseAND(F.lit((1 << low) - 1))
 
     def merged(v: Column, least: Column, j: Column) -> Column:
-        new = F.shiftright(least, low)
-        before, after = F.get(v, j - 2), F.get(v, j + 1)
-        left = F.when(j > 1, F.array(packed(rank_of(ranks, id_of(before), new), before.bitwiseAND(mask(low))))).otherwise(none)
-        right = F.when(after.isNull(), F.lit(NONE).cast("bigint")).otherwise(rank_of(ranks, new, id_of(after)))
-        own = packed(right, least.bitwiseAND(F.lit(((1 << PLACE_BITS) - 1) << ID_BITS)).bitwiseOR(new))
-        return F.concat(F.slice(v, F.lit(1), F.greatest(j - 2, F.lit(0))), left, F.array(own), F.slice(v, j + 2, F.lit(1 << PLACE_BITS)))
+        before, after, new = F.get(v, j - 2), F.get(v, j + 1), F.shiftright(least, low)
+        keys = F.array(F.shiftleft(id_of(before), 2 * ID_BITS).bitwiseOR(F.shiftleft(new, ID_BITS)), F.shiftleft(new, 2 * ID_BITS).bitwiseOR(F.shiftleft(id_of(after), ID_BITS)))
+        own = least.bitwiseAND(F.lit(((1 << PLACE_BITS) - 1) << ID_BITS)).bitwiseOR(new)
+        pair = F.transform(keys, lambda key, i: F.shiftleft(rank_of(ranks, key), low).bitwiseOR(F.when(i == 0, rest_of(before)).otherwise(own)))
+        rest = F.slice(v, j + 2, F.lit(1 << PLACE_BITS))
+        return F.when(j > 1, F.concat(F.slice(v, F.lit(1), j - 2), pair, rest)).otherwise(F.concat(F.slice(pair, 2, 1), rest))
 
     def step(v: Column, _: Column) -> Column:
         return let(F.array_min(v), lambda least: F.when(least >= (NONE << low), v).otherwise(let(F.array_position(v, least).cast("int"), lambda j: merged(v, least, j))))
 
-    def one(a: Column, i: Column) -> Column:
-        rank = F.when(i + 1 < size, rank_of(ranks, a, F.get(word, i + 1))).otherwise(F.lit(NONE).cast("bigint"))
-        return packed(rank, F.shiftleft(i.cast("bigint"), ID_BITS).bitwiseOR(a))
+    return F.when(size < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), size), word, step))
+
 
-    folded = F.aggregate(F.sequence(F.lit(2), size), F.transform(word, one), step, lambda v: F.transform(v, id_of))
-    return F.when(size < 2, word).otherwise(folded)
+def id_of(piece: Column) -> Column:
+    """The id of a piece as the fold carries it."""
+    return piece.bitwiseAND(F.lit(NONE))
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -210,11 +208,26 @@ def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
     return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def byte_lists(words: list[bytes], ranks: dict[bytes, int]) -> pa.ListArray:
-    """The ids of the bytes of each word."""
-    single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-    ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(single[np.frombuffer(b"".join(words), np.uint8)]))
+def byte_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all bytes, and the ranks of all pairs of two bytes, or ``NONE``."""
+    pairs = np.full(1 << 16, NONE, np.int64)
+    for piece, rank in ranks.items():
+        if len(piece) == 2:
+            pairs[piece[0] << 8 | piece[1]] = rank
+    return np.array([ranks[bytes([i])] for i in range(256)], np.int64), pairs
+
+
+def byte_lists(words: list[bytes], known: tuple[np.ndarray, np.ndarray]) -> pa.ListArray:
+    """The bytes of each word as the pieces that ``merge_fold`` begins with: the rank of each pair, its place, the byte's id."""
+    single, pairs = known
+    ends = np.cumsum([0, *map(len, words)])
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    rank = np.full(len(flat), NONE, np.int64)
+    rank[:-1] = pairs[flat[:-1].astype(np.int64) << 8 | flat[1:]]
+    lengths = np.diff(ends)
+    rank[ends[1:][lengths > 0] - 1] = NONE
+    place = np.arange(len(flat)) - np.repeat(ends[:-1], lengths)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rank << (ID_BITS + PLACE_BITS) | place << ID_BITS | single[flat]))
 
 
 def build_head(docs: DataFrame, ranks: dict[bytes, int], table: Broadcast, pattern: str, head: int = HEAD, text_col: str = "text") -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -237,11 +250,12 @@ def build_head(docs: DataFrame, ranks: dict[bytes, int], table: Broadcast, patte
     known = share(spark, ranks)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single = byte_ranks(known.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), byte_lists([w.encode() for w in batch.column(0).to_pylist()], known.value)], ["word", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), byte_lists([w.encode() for w in batch.column(0).to_pylist()], single)], ["word", "bytes"])
 
     spelt = top.select("word").repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(spell, "word string, bytes array<bigint>")
-    rows = with_ranks(spelt, table).select("word", let(F.col("ranks"), lambda r: merge_fold(F.col("bytes"), r)).cast("array<int>").alias("ids")).toArrow()
+    rows = with_ranks(spelt, table).select("word", let(F.col("ranks"), lambda r: F.transform(merge_fold(F.col("bytes"), r), id_of)).cast("array<int>").alias("ids")).toArrow()
     scratch.drop()
     words, ids = rows["word"].combine_chunks(), rows["ids"].combine_chunks()
     del rows
@@ -288,7 +302,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each word's place in the head, or behind it in the row's own array of other words, as ids of their bytes."""
-        split, held = splitter(pattern), told.value
+        split, held, single = splitter(pattern), told.value, byte_ranks(told_ranks.value)
         if "known" not in held:
             held["known"] = dict(zip(held.pop("words").to_pylist(), range(n_head), strict=True))
         known = held["known"].get
@@ -305,7 +319,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
                 ends.append(ends[-1] + len(got))
                 upto.append(len(rest))
             flat = pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.array(upto, np.int32)), byte_lists(rest, told_ranks.value))
+            lists = pa.ListArray.from_arrays(pa.array(np.array(upto, np.int32)), byte_lists(rest, single))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), flat), lists], ["doc_id", "codes", "rest"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,8 +353,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
         for batch in batches:
             codes_at, codes_all = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
             docs_at, words = batch.column(3).offsets.to_numpy().tolist(), batch.column(3).values
-            ids_at, ids = words.offsets.to_numpy().tolist(), words.values.to_numpy().tolist()
-            long = {w: merge_long(joined(batch.column(2).values[w].as_py(), pieces), by_bytes) for w in np.nonzero(words.is_null().to_numpy(zero_copy_only=False))[0].tolist()} if words.null_count else {}
+            ids_at, ids = words.offsets.to_numpy().tolist(), (words.values.to_numpy() & NONE).tolist()
+            long = {w: merge_long(joined([v & NONE for v in batch.column(2).values[w].as_py()], pieces), by_bytes) for w in np.nonzero(words.is_null().to_numpy(zero_copy_only=False))[0].tolist()} if words.null_count else {}
             if digests:
                 shown_ids, back_ids = list(map(names.__getitem__, ids)), list(map(pieces.__getitem__, ids))
 

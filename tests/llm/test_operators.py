@@ -192,6 +192,16 @@ def test_no_plan_holds_the_ranks(docs, tok):
     assert sum(len(plan.apply(k).expressions().toString()) for k in range(3)) < 100_000
 
 
+def test_fold_begins_with_ranked_pairs(tok):
+    ranks, low = tok[0], bpe.ID_BITS + bpe.PLACE_BITS
+    words = [b"", b" the", b"\xff\x00q", b"", b"x", b"mississippi", b""]
+    for word, pieces in zip(words, bpe.byte_lists(words, bpe.byte_ranks(ranks)).to_pylist(), strict=True):
+        assert [v & bpe.NONE for v in pieces] == [ranks[bytes([c])] for c in word]
+        assert [v >> bpe.ID_BITS & ((1 << bpe.PLACE_BITS) - 1) for v in pieces] == list(range(len(word)))
+        assert [v >> low for v in pieces] == [ranks.get(word[k : k + 2], bpe.NONE) if k + 1 < len(word) else bpe.NONE for k in range(len(word))]
+    assert bpe.byte_lists([], bpe.byte_ranks(ranks)).to_pylist() == [] and bpe.byte_lists([b""], bpe.byte_ranks(ranks)).to_pylist() == [[]]
+
+
 def test_decode_shares_its_routine(spark):
     ranks = {bytes([c]): c for c in range(256)}
     assert bpe.joined([104, 105], bpe.pieces_of(ranks)) == b"hi"
